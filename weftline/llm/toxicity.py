@@ -49,6 +49,8 @@ class Config:
     max_docs: int = 1200
     min_word_docs: int = 3
     epochs: int = 9
+    #: Small samples get as many epochs as this takes.
+    min_steps: int = 200
     batch: int = 48
     rate: float = 0.01
     seed: int = 7
@@ -245,7 +247,8 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
     every = np.concatenate([w for w, _ in train])
     ends = np.cumsum([len(w) for w, _ in train])
     loss = 0.0
-    for epoch in range(cfg.epochs):
+    epochs = max(cfg.epochs, -(-cfg.min_steps // -(-len(train) // cfg.batch)))
+    for epoch in range(epochs):
         if epoch >= 2 and epoch % 2 == 0:  # the worst window of each document
             feats = _features(p, rows_a, off, wr)
             proj = _project(p, feats)
@@ -254,7 +257,7 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
         elif epoch < 2:
             pick = [int(rng.integers(len(w))) for w, _ in train]
         order, loss = rng.permutation(len(train)), 0.0
-        adam.rate = cfg.rate * (1 - 0.8 * epoch / cfg.epochs)
+        adam.rate = cfg.rate * (1 - 0.8 * epoch / epochs)
         for i in range(0, len(order), cfg.batch):
             part = order[i : i + cfg.batch]
             wins = np.stack([train[k][0][pick[k]] for k in part]).T
