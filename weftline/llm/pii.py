@@ -414,6 +414,28 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def without(docs: DataFrame, model: Model, text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with the spans in ``text`` replaced by their labels, and ``length`` set to the new text's length; other columns as they were."""
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                batch = whole.slice(lo, 1024)
+                read = texts(batch, text)
+                coded = [codes(t) if t else np.zeros(0, np.uint8) for t in read]
+                got = [model.spans(y) for i, k in _sized(coded, 400_000) for y in model.labels(coded[i:k])]
+                new = [redact(t, s) if s else t for t, s in zip(read, got)]
+                made = {text: pa.array(new, pa.string())}
+                if length:
+                    old = batch.column(batch.schema.get_field_index(length))
+                    made[length] = pa.array([len(t) if s else n for t, s, n in zip(new, got, old.to_pylist())], old.type)
+                yield appended(batch, schema, made)
+
+    return docs.mapInArrow(run, schema)
+
+
 def sample(docs: DataFrame, max_docs: int) -> list[str]:
     """Up to ``max_docs`` texts, chosen by a hash of their id."""
     rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("text").collect()

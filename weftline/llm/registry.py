@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import toxicity
+from weftline.llm import bpe, decontaminate, jaccard, pii, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bpe": bpe.op1_bpe,
+    "op3_pii": pii.op3_pii,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op6_jaccard_pairs": jaccard.op6_jaccard_pairs,
     "op8_toxicity": toxicity.op8_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontaminate": decontaminate.OP4_SQL,
+}

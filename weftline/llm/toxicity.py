@@ -418,6 +418,22 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``docs`` without those that the model rejects; no shuffle, one pass, all columns kept."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                docs_ = [tokens(t) for t in texts(batch, text)]
+                got = [x for i, k in _batches(docs_, 200_000) for x in scorer.score(docs_[i:k])]
+                yield batch.filter(pa.array([g[2] == 0 or not scorer.m.trained or g[0] < scorer.m.threshold for g in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> list[tuple[str, int]]:
     """Up to ``max_docs`` labelled texts of each class, chosen by a hash of their id."""
     y = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("_y"))
