@@ -1,4 +1,4 @@
-"""Named queries over the reference tables and the SQL they must agree with."""
+"""Named queries over the given tables and the SQL they must agree with."""
 
 from __future__ import annotations
 
@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from weftline.plans import ingest
+
+MODULES = (ingest,)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
