@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import base64
 import os
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weftline.shared import remove, shared_dir, written, written_at  # noqa: F401
+
 TOKENIZER_DIR = "/opt/tokenizers"
 
 
@@ -20,44 +20,6 @@ def tokenizer_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.weftline.tokenizers", TOKENIZER_DIR)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Where it is unset and the session is local, a temporary folder is made and set; on a
-    cluster an unset folder is an error, as a machine-local one would not be shared.
-    """
-    got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if got:
-        return got.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="weftline-shared-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends here and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def written_at(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
-    """As ``written``, partitioned ``by`` columns, with the folder, which ``remove`` takes."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a table of ``written_at`` that no later step reads."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
