@@ -44,3 +44,11 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ``written_at`` that no later step reads."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataFrame, str]:
+    """As ``written_at``, in buckets by ``column``: grouping or joining by it later shuffles only the other side."""
+    spark = df.sparkSession
+    path, key = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"wl_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(key)
+    return spark.table(key), path
