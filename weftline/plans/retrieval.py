@@ -9,6 +9,7 @@ from weftline.config import Config, Weights
 from weftline.functions import vectors
 from weftline.operators import rank, retrieve
 from weftline.plans import base
+from weftline.shared import written
 
 CFG = Config()
 
@@ -87,7 +88,7 @@ def _candidates(spark, sf_dir):
     """Fused candidates with texts and the similarity that lexical hits lack."""
     req, docs, fused = _fused(spark, sf_dir)
     both = fused.join(docs, "doc_id").join(retrieve.hinted(req.select("request_id", "user_message")), "request_id")
-    return both.drop("rank", "vec_rank", "lex_rank")
+    return written(both.drop("rank", "vec_rank", "lex_rank"), "candidates")  # some rows a request, read by what follows
 
 
 def bm25_local(spark, sf_dir):
