@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import base64
 import os
+import struct
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.shared import remove, shared_dir, written, written_at  # noqa: F401
+from weftline.shared import bucketed, remove, shared_dir, written, written_at  # noqa: F401
 
 TOKENIZER_DIR = "/opt/tokenizers"
 
@@ -81,5 +83,20 @@ def utf8(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
-def text_or_empty(column: str) -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def put_arrays(*arrays: np.ndarray) -> bytes:
+    """Arrays as one compressed blob, the bytes of each in planes."""
+    heads = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    body = b"".join(np.ascontiguousarray(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T).tobytes() if len(a) else b"" for a in arrays)
+    return struct.pack("<Q", len(body)) + heads + (pa.Codec("zstd", 1).compress(body, asbytes=True) if body else b"")
+
+
+def get_arrays(blob: bytes) -> list[np.ndarray]:
+    size, count = struct.unpack_from("<QB", blob)
+    heads = [struct.unpack_from("<2sQ", blob, 9 + 10 * i) for i in range(count)]
+    body = np.frombuffer(pa.decompress(blob[9 + 10 * count :], decompressed_size=size, codec="zstd", asbytes=True), np.uint8) if size else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for kind, n in heads:
+        dt = np.dtype(kind.decode())
+        out.append(np.ascontiguousarray(body[at : at + n * dt.itemsize].reshape(dt.itemsize, n).T).view(dt).ravel())
+        at += n * dt.itemsize
+    return out
