@@ -20,6 +20,8 @@ Ids that the vocabulary lacks decode to nothing.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Splits as PATTERN does where a text has none of the characters of RARE.
 FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 #: White space and numbers that the two libraries class differently, and marks.
-RARE = regex.compile(r"[\x1c-\x1f\x85\p{Nl}\p{No}\p{M}]")
+CONTROLS = "\x1c\x1d\x1e\x1f"
+RARE = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c in CONTROLS or c == "\x85" or unicodedata.category(c) in ("Nl", "No", "Mn", "Mc", "Me"))
 #: PATTERN with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 EXACT = regex.compile(PATTERN.replace(r"[^\s\p", rf"[^{SPACE}\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
@@ -45,7 +48,8 @@ EXACT = regex.compile(PATTERN.replace(r"[^\s\p", rf"[^{SPACE}\p").replace(r"\s",
 
 def pretokens(text: str) -> list[str]:
     """The words of a text, in order; together they are the text."""
-    return EXACT.findall(text) if RARE.search(text) else FAST.findall(text)
+    rare = any(c in text for c in CONTROLS) if text.isascii() else not RARE.isdisjoint(text)
+    return EXACT.findall(text) if rare else FAST.findall(text)
 
 
 def _pack(a: np.ndarray) -> bytes:

@@ -46,13 +46,15 @@ def _packed(x: np.ndarray, width: int) -> bytes:
 
 def pack(ids: np.ndarray) -> bytes:
     """The blob of an array of ids."""
-    rest = np.asarray(ids, np.uint64)
-    if len(rest) and int(rest.max()) >= 1 << 32:
-        raise ValueError("ids must be below 2**32")
+    rest = np.asarray(ids)
+    if rest.dtype != np.uint32:
+        if len(rest) and int(rest.max()) >= 1 << 32:
+            raise ValueError("ids must be below 2**32")
+        rest = rest.astype(np.uint32)
     heads, bodies = [], []
     for level, width in enumerate(WIDTHS):
         n = len(rest)
-        low, more = rest & np.uint64((1 << width) - 1), rest >> np.uint64(width)
+        low, more = rest & np.uint32((1 << width) - 1), rest >> np.uint32(width)
         on = more > 0
         last = level + 1 == len(WIDTHS) or not on.any()
         heads.append(struct.pack("<BBQ", width, not last, n))
@@ -117,18 +119,32 @@ class Codes:
 class Encoder:
     """Ids of texts; keeps the ids of words it has seen."""
 
-    def __init__(self, vocabulary: str, keep: int = 300_000):
+    def __init__(self, vocabulary: str, keep: int = 500_000):
         self.enc, self.keep = encoding(vocabulary), keep
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, bytes] = {}
 
     def __call__(self, docs: list[str | None]) -> list[np.ndarray | None]:
         if len(self.seen) > self.keep:
             self.seen = {}
         split = [None if t is None else pretokens(utf8(t)) for t in docs]
-        for w in {w for t in split if t for w in t}.difference(self.seen):
-            self.seen[w] = np.array(self.enc.encode_ordinary(w), np.uint32)
-        none = np.zeros(0, np.uint32)
-        return [None if t is None else np.concatenate([none, *map(self.seen.__getitem__, t)]) for t in split]
+        new: set[str] = set()
+        for t in split:
+            if t:
+                new.update(t)
+        for w in new.difference(self.seen):
+            self.seen[w] = np.array(self.enc.encode_ordinary(w), np.uint32).tobytes()
+        get = self.seen.__getitem__
+        return [None if t is None else np.frombuffer(b"".join(map(get, t)), np.uint32) for t in split]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder(vocabulary: str) -> Encoder:
+    """One for each process, as tasks share most words."""
+    if vocabulary not in _ENCODERS:
+        _ENCODERS[vocabulary] = Encoder(vocabulary)
+    return _ENCODERS[vocabulary]
 
 
 def _columns(blobs: list[bytes | None], counts: list[int | None]) -> dict[str, pa.Array]:
@@ -143,7 +159,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     schema = plus(docs.schema, RESULT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(vocabulary)
+        enc = encoder(vocabulary)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
