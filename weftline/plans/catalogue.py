@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import context, evaluation, ingest, memory, retrieval
+from weftline.plans import context, engine, evaluation, ingest, memory, retrieval
 
-MODULES = (ingest, retrieval, context, memory, evaluation)
+MODULES = (ingest, retrieval, context, memory, evaluation, engine)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: v for m in MODULES for k, v in m.ORACLE_SQL.items()}
