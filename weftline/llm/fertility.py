@@ -54,39 +54,42 @@ class Config:
     grain: int = 4  # decimals
 
 
-def _byte_pieces(model) -> np.ndarray:
-    """Ids of fallback bytes, without that of the line break."""
-    return np.array([model.is_byte(i) and model.id_to_piece(i) != "<0x0A>" for i in range(model.get_piece_size())])
+def _byte_pieces(model) -> list[int]:
+    """1 for ids of fallback bytes, without that of the line break."""
+    return [int(model.is_byte(i) and model.id_to_piece(i) != "<0x0A>") for i in range(model.get_piece_size())]
 
 
 class Meter:
     """Measures of texts; keeps what it knows of words it has seen."""
 
-    def __init__(self, folder: str, keep: int = 200_000):
+    def __init__(self, folder: str, keep: int = 400_000):
         import sentencepiece
 
         self.enc = encoding(f"{folder}/{VOCABULARY}")
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=f"{folder}/{PIECES}")
         self.is_byte = _byte_pieces(self.pieces)
-        self.keep, self.words, self.units = keep, {}, {" ": (1, 0)}  # the model adds no space to an empty text
+        self.keep, self.words, self.units = keep, {}, {" ": 1}  # the model adds no space to an empty text
 
     def _learn(self, split: list[list[str]], cut: list[list[str]]) -> None:
         if len(self.words) > self.keep:
             self.words = {}
         if len(self.units) > self.keep:
-            self.units = {" ": (1, 0)}
+            self.units = {" ": 1}
         for w in {w for t in split for w in t}.difference(self.words):
             self.words[w] = np.array(self.enc.encode_ordinary(w), np.int32).tobytes()
         new = list({u for t in cut for u in t}.difference(self.units))
         # no piece has a space after another character, so a text's pieces are those of its units; the model adds a space itself
-        for u, ids in zip(new, self.pieces.encode([u[1:] for u in new], num_threads=1)):
-            self.units[u] = (len(ids), int(self.is_byte[ids].sum()) if ids else 0)
+        if new:
+            found = self.pieces.encode([u[1:] if u[:1] == " " else u for u in new], num_threads=1)
+            far = self.is_byte
+            for u, ids in zip(new, found):
+                self.units[u] = len(ids) + (sum(map(far.__getitem__, ids)) << 32)
 
     def measure(self, docs: list[str | None]) -> list[tuple]:
         """(tokens, characters per token, byte share, entropy, evenness) of each; None without a text."""
         docs = [utf8(t) if t else "" for t in docs]
         split = [pretokens(t) for t in docs]
-        cut = [UNIT.findall(" " + t) if t else [] for t in docs]
+        cut = [units_of(t) for t in docs]
         self._learn(split, cut)
         out = []
         for t, words, units in zip(docs, split, cut):
@@ -94,17 +97,36 @@ class Meter:
                 out.append((0, None, None, None, None))
                 continue
             ids = np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
-            n, c = len(ids), np.bincount(ids)
+            n = len(ids)
+            c = np.unique(ids, return_counts=True)[1] if n < 20_000 else np.bincount(ids)
             c = c[c > 0]
             h = float(np.log2(n) - (c * np.log2(c)).sum() / n)
-            pieces = Counter(units)
-            total = sum(self.units[u][0] * k for u, k in pieces.items())
-            other = sum(self.units[u][1] * k for u, k in pieces.items())
+            both = sum(map(self.units.__getitem__, units))
+            total, other = both & 0xFFFFFFFF, both >> 32
             even = h / np.log2(n) if n > 1 else 1.0
             out.append((n, len(t) / n, other / total, abs(h), max(0.0, float(even))))
         return out
 
 
+def units_of(text: str) -> list[str]:
+    """Words with the spaces before them; those of a single space without it."""
+    if not text:
+        return []
+    if "  " in text or text[0] == " " or text[-1] == " ":
+        return UNIT.findall(" " + text)
+    return text.split(" ")
+
+
+_METERS: dict[str, Meter] = {}
+
+
+def meter(folder: str) -> Meter:
+    """One for each process, as tasks share most words."""
+    if folder not in _METERS:
+        _METERS[folder] = Meter(folder)
+    return _METERS[folder]
+
+
 def script_of(text: str | None) -> str:
     """The script of most letters, of equals the first in the alphabet; ``none`` without letters."""
     letters = Counter(c for c in text or "" if c.isalpha())
@@ -120,13 +142,13 @@ def measure(docs: DataFrame, folder: str, text: str = "text", lang: str | None =
     lang = lang if lang in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        meter = Meter(folder)
+        known = meter(folder)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
                 read = texts(batch, text)
                 named = texts(batch, lang) if lang else [None] * len(read)
-                got = list(zip(*meter.measure(read)))
+                got = list(zip(*known.measure(read)))
                 names = ["n_tokens", "chars_per_token", "byte_share", "entropy", "evenness"]
                 made = {k: pa.array(v, pa.int64() if k == "n_tokens" else pa.float64()) for k, v in zip(names, got)}
                 made["band"] = pa.array([str(x) if x else script_of(t) for x, t in zip(named, read)], pa.string())
