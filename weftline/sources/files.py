@@ -43,7 +43,7 @@ def pdf_text(found: DataFrame) -> DataFrame:
 def load(spark: SparkSession, root: str, glob: str = "*", tenant_id: str = "default", acl: list[str] | None = None, source: str = "document", as_of: float | None = None, pdf: bool = False) -> DataFrame:
     """Files below ``root`` as rows of ``DOCUMENT``; others than ours are passed over. Bytes that aren't UTF-8 are replaced."""
     found = binary(spark, root, glob)
-    plain = F.decode("content", F.lit("UTF-8"))
+    plain = F.make_valid_utf8(F.col("content").cast("string"))
     read = found.where(~suffix("path").isin(*PDF)).withColumn("_t", plain)
     docs = read.select("path", F.when(suffix("path").isin(*HTML), text.html_text("_t")).otherwise(F.col("_t")).alias("text"), F.unix_micros("modificationTime").alias("_us"))
     if pdf:
