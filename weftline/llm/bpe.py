@@ -1,11 +1,11 @@
 """Byte-level BPE encoding and decoding, each distinct word of the corpus encoded once.
 
 Encoding. Tasks split their texts into pre-tokens and gather them in blocks: a block holds
-its distinct words and, for each text, the positions' indices into them. The words, with
-block and index, are shuffled by word over the whole corpus, so every distinct word meets
-its copies in one place and is encoded once; the ids are shuffled back to the blocks and each
+its distinct words and, for each text, the positions' indices into them. The words of blocks
+are shuffled by a hash of the word, so over the whole corpus every distinct word meets its
+copies in one place and is encoded once; the ids are shuffled back to the blocks and each
 text is put together by position. So what is shuffled are the distinct words of blocks, not
-all positions; the blocks' indices go through one exchange, which both readers share.
+all positions: the blocks themselves are written in buckets and never move.
 
 Decoding joins ids with the vocabulary's table of token bytes. The table has as many rows as
 the vocabulary, whatever the corpus, and is sent to all tasks as one row.
@@ -27,12 +27,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import PATTERN, encoding, plus, ranks, table, texts, tokenizer_dir, utf8, written
+from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, size_of, table, texts, tokenizer_dir, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -52,15 +53,15 @@ def pretokens(text: str) -> list[str]:
     return EXACT.findall(text) if rare else FAST.findall(text)
 
 
-def _pack(a: np.ndarray) -> bytes:
-    return np.ascontiguousarray(a).tobytes()
+def _blocks(columns: list[str], text: str, block_chars: int, parts: int):
+    """Function for mapInArrow: rows to blocks.
 
-
-def _blocks(columns: list[str], text: str, block_chars: int):
-    """Function for mapInArrow: rows to blocks (block, words, rows as an Arrow stream, codes, lengths)."""
+    A block has a row of part -1, with its rows as an Arrow stream, and the words' numbers and count of each text; and
+    a row for each part of its words, sorted. Words are numbered in the order of those rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        task, seq = TaskContext.get().partitionId(), 0
         seen: dict[str, int] = {}
         kept: list[pa.RecordBatch] = []
         codes: list[np.ndarray] = []
@@ -72,12 +73,22 @@ def _blocks(columns: list[str], text: str, block_chars: int):
             with pa.ipc.new_stream(rows, kept[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
                 for b in kept:
                     w.write_batch(b)
-            flat = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            body = pa.compress(_pack(flat.view(np.uint8).reshape(-1, 4).T), codec="zstd", asbytes=True) if len(flat) else b""
-            return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) | seq]), pa.array([list(seen)], pa.list_(pa.string())), pa.array([rows.getvalue().to_pybytes()], pa.binary()), pa.array([body], pa.binary()), pa.array([_pack(np.array(lens, np.int64))], pa.binary())],
-                names=["block", "words", "rows", "codes", "lens"],
-            )
+            by_part: dict[int, list[str]] = {}
+            for w in seen:
+                by_part.setdefault(xxhash.xxh32_intdigest(w) % parts, []).append(w)
+            number, n = np.empty(len(seen), np.uint32), 0
+            where, data = [-1], []
+            for part in sorted(by_part):
+                words = sorted(by_part[part])
+                number[[seen[w] for w in words]] = np.arange(n, n + len(words))
+                n += len(words)
+                where.append(part)
+                data.append(put_arrays(np.array(list(map(len, words)), np.uint32), np.frombuffer("".join(words).encode(), np.uint8)))
+            flat = number[np.concatenate(codes)] if codes else np.zeros(0, np.uint32)
+            data.insert(0, put_arrays(flat, np.array(lens, np.int64)))
+            block = pa.array([(task << 32) | seq] * len(where), pa.int64())
+            held = pa.array([rows.getvalue().to_pybytes()] + [None] * (len(where) - 1), pa.binary())
+            return pa.RecordBatch.from_arrays([block, pa.array(where, pa.int32()), held, pa.array(data, pa.binary())], names=["block", "part", "rows", "data"])
 
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
@@ -103,55 +114,58 @@ def _blocks(columns: list[str], text: str, block_chars: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 12_000_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 8_000_000, part_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``token_ids``, an array of the ids of ``text``."""
+    spark = docs.sparkSession
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != "token_ids"]
     schema = plus(docs.select(*columns).schema, "token_ids array<int>")
-    made = docs.select(*dict.fromkeys([*columns, text])).mapInArrow(_blocks(columns, text, block_chars), "block bigint, words array<string>, rows binary, codes binary, lens binary")
-    blocks = written(made, "blocks")
+    size = size_of(docs)  # a part has the words of so many bytes of the table
+    parts = min(50_000, max(4, -(-size // part_bytes))) if size < 1 << 60 else 4 * spark.sparkContext.defaultParallelism  # else unknown
+    made = docs.select(*dict.fromkeys([*columns, text])).mapInArrow(_blocks(columns, text, block_chars, parts), "block bigint, part int, rows binary, data binary")
+    blocks, _ = bucketed(made, "bpe-blocks", "block", max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known = encoding(vocabulary), {}
         for batch in batches:
-            ids = []
-            for w in batch.column(0).to_pylist():
-                got = known.get(w)
-                if got is None:
-                    got = known[w] = np.array(enc.encode_ordinary(w), np.int32).tobytes()
-                ids.append(got)
-            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary())], names=["block", "at", "ids"])
-
-    words = blocks.select("block", F.posexplode("words").alias("at", "word")).select("word", "block", "at")
-    coded = words.repartition("word").mapInArrow(encode_words, "block bigint, at int, ids binary")
+            out = []
+            for blob in texts(batch, "data"):
+                lens, raw = get_arrays(blob)
+                joined, at, ids = raw.tobytes().decode(), 0, []
+                for n in lens.tolist():
+                    w = joined[at : at + n]
+                    at += n
+                    got = known.get(w)
+                    if got is None:
+                        got = known[w] = np.array(enc.encode_ordinary(w), np.uint32).tobytes()
+                    ids.append(got)
+                out.append(put_arrays(np.array(list(map(len, ids)), np.uint32) // 4, np.frombuffer(b"".join(ids), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "part", "data"])
+
+    words = blocks.where("part >= 0").select("block", "part", "data")
+    coded = words.repartition(parts, "part").mapInArrow(encode_words, "block bigint, part int, data binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = pa.ipc.open_stream(left["rows"][0].as_py()).read_all()
-        lens = np.frombuffer(left["lens"][0].as_py(), np.int64)
-        n = int(lens[lens > 0].sum())
-        codes = np.zeros(0, np.int64)
-        if n:
-            raw = pa.decompress(left["codes"][0].as_py(), decompressed_size=4 * n, codec="zstd", asbytes=True)
-            codes = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view(np.uint32).ravel()
-        at = right["at"].to_numpy()
-        ids = right["ids"].combine_chunks()
-        ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
-        flat, offsets = np.zeros(0, np.int32), np.zeros(len(lens) + 1, np.int32)
-        if n:
-            cut = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1] // 4
-            pool = np.frombuffer(ids.buffers()[2], np.int32)
-            first, many = np.empty(len(at), np.int64), np.empty(len(at), np.int64)
-            first[at], many[at] = cut[:-1], np.diff(cut)
-            count = many[codes]
-            ends = np.cumsum(count)
-            flat = pool[np.repeat(first[codes] - (ends - count), count) + np.arange(ends[-1])]
-            upto = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.maximum(lens, 0))])]
-            offsets = upto.astype(np.int32)
-        tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()), mask=pa.array(lens < 0))
+        codes, lens = get_arrays(left["data"][0].as_py())
+        blobs = [get_arrays(right["data"][int(i)].as_py()) for i in np.argsort(right["part"].to_numpy())]
+        flat, offsets = np.zeros(0, np.uint32), np.zeros(len(lens) + 1, np.int32)
+        if len(codes):
+            many, pool = (np.concatenate(x) for x in zip(*blobs))
+            del blobs
+            first = (np.cumsum(many) - many).astype(np.int32)  # 32 bits hold what a block of some million characters has
+            count = many.astype(np.int32)[codes]
+            ends = np.cumsum(count, dtype=np.int32)
+            offsets = np.concatenate([np.zeros(1, np.int32), ends])[np.concatenate([[0], np.cumsum(np.maximum(lens, 0))])]
+            at = np.repeat(first[codes] - (ends - count), count)
+            del codes, count
+            at += np.arange(len(at), dtype=np.int32)
+            flat = pool[at]
+            del at
+        tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32), pa.int32()), mask=pa.array(lens < 0))
         return pa.table([*(rows[c] for c in columns), tokens], names=[*columns, "token_ids"])
 
-    whole = blocks.select("block", "rows", "codes", "lens").groupBy("block")
-    out = whole.cogroup(coded.groupBy("block")).applyInArrow(assemble, schema)
-    return out
+    whole = blocks.where("part = -1").select("block", "rows", "data")
+    return whole.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -169,7 +183,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str =
     row = spark.createDataFrame([(pieces,)], "_wl_pieces array<string>")  # one row, as large as the vocabulary
     text: Column = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(F.col("_wl_pieces"), i), F.lit(""))), "")
     joined = docs.drop(out).crossJoin(F.broadcast(row))
-    return joined.withColumn(out, F.expr("decode(encode(_wl_t, 'ISO-8859-1'), 'UTF-8')") if False else F.decode(F.encode(text, "ISO-8859-1"), "UTF-8")).drop("_wl_pieces")
+    return joined.withColumn(out, F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))).drop("_wl_pieces")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
