@@ -100,7 +100,7 @@ class Scanner:
                 else:
                     mine.append([last - n + 1, last, last - n + 1])
         at = offsets_of(text)
-        return [(self.ids[o], a, z - a + 1, at[a][0], at[z][1], z - a + 1 >= self.count[o]) for o in sorted(runs, key=lambda o: (self.ids[o], o)) for a, z, _ in runs[o]]
+        return [(self.ids[o], a, z - a + 1, at[a][0], at[z][1], z - a + 1 >= self.count[o]) for o in sorted(runs, key=lambda o: (self.ids[o] is None, self.ids[o] or 0, o)) for a, z, _ in runs[o]]
 
 
 def _shards(items: DataFrame, cfg: Config) -> list[list[tuple[int, str]]]:

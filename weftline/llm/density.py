@@ -16,7 +16,7 @@ Characters are those of the text with runs of white space as one space and none
 outside of ``SKIP`` elements. Text of block elements is set off by a line break.
 
 Parsing is forgiving: void elements, implied ends of p, li, dt, dd, tr, td, th and option,
-end tags without a start are ignored, open elements end with the page, ``>`` inside quotes,
+end tags without a start are ignored, open elements end with the page, a tag cut off by its end is dropped, ``>`` inside quotes,
 comments and raw text elements are recognised.
 
 Cases: a null page has null results; an empty one, or one without text, has an empty text and
@@ -40,6 +40,8 @@ from weftline.llm.common import appended, plus, table, texts
 RESULT = "content string, tag string, density_sum double, threshold double, n_nodes int, n_chars int, content_chars int"
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+#: A tag that the page's end cuts off.
+CUT = re.compile(r"<[/!?a-zA-Z][^<>]*\Z")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIP = frozenset("head script style noscript template iframe object svg select textarea".split())
 RAW = frozenset("script style noscript template iframe textarea svg".split())
@@ -93,7 +95,8 @@ class Page:
         while pos < n:
             m = TOKEN.search(html, pos)
             if m is None:
-                put(html[at:])
+                rest = CUT.search(html, at)
+                put(html[at : rest.start() if rest else n])
                 at = n
                 break
             if m.start() > at:
