@@ -80,7 +80,7 @@ LONG = " union all ".join(f"select config, query_id, '{m}' metric, {m} as value
 
 
 def eval_rankings(spark, sf_dir):
-    return _rankings(spark, sf_dir)[0].select("config", "query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _rankings(spark, sf_dir)[0].select("config", "query_id", "doc_id", "score", "rank")
 
 
 def eval_metrics(spark, sf_dir):
@@ -176,7 +176,7 @@ src as (select conv_id, conv_id || ':' || turn key, text from conversations wher
 best as (select k, max(round(s, 9)) b from (select av.key k, sv.key, sum(av.weight * sv.weight) s from said join av on av.key = said.key join src using (conv_id) join sv on sv.key = src.key and sv.bucket = av.bucket group by all) group by k)
 select conv_id, count(*) claims, count(*) filter (coalesce(b >= 0.3, false)) supported, round(count(*) filter (coalesce(b >= 0.3, false)) / count(*), 6) groundedness from said left join best on k = key group by conv_id"""
 
-EVAL_RANKINGS = f"with {RANKINGS_CTE} select config, query_id, doc_id, round(score, 6) score, rank from ranked"
+EVAL_RANKINGS = f"with {RANKINGS_CTE} select config, query_id, doc_id, score, rank from ranked"
 QUERIES = {f.__name__: f for f in (eval_rankings, eval_metrics, eval_first_rank, eval_bootstrap, eval_report, eval_paired, eval_null_control, eval_tune, eval_groundedness)}
 ORACLE_SQL = {
     "eval_rankings": EVAL_RANKINGS, "eval_metrics": EVAL_METRICS, "eval_first_rank": FIRST_RANK, "eval_bootstrap": BOOTSTRAP, "eval_report": REPORT,

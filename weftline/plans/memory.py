@@ -71,7 +71,7 @@ def memory_topk(spark, sf_dir):
     key = F.col("conv_id") * 1000 + F.col("turn")
     r = c.select(key.alias("memory_id"), F.col("conv_id").cast("string").alias("scope"), "text", (F.col("turn") % 10 / 10.0).alias("importance"), (base.AS_OF - key * 60.0).alias("created"), (base.AS_OF - key * 60.0).alias("last_used"), F.lit(None).cast("double").alias("ttl_s"))
     got = memory.recall(vectors.embed(_asks(spark, sf_dir)), vectors.embed(r), F.lit(base.AS_OF))
-    return got.select("request_id", "memory_id", F.round("score", 6).alias("score"), "pinned", "rank")
+    return got.select("request_id", "memory_id", "score", "pinned", "rank")
 
 
 TOPK = f"""with c as (select conv_id * 1000 + turn id, conv_id, turn, role, text from conversations), {base.vector_cte('v', 'c', 'id', 'text')},
@@ -79,7 +79,7 @@ pairs as (select q.id request_id, m.id memory_id, m.turn from c q join c m using
 near as (select request_id, memory_id, sum(a.weight * b.weight) s from pairs join v a on a.id = request_id join v b on b.id = memory_id and b.bucket = a.bucket group by all),
 scored as (select request_id, memory_id, round(0.6 * coalesce(s, 0) + 0.25 * (turn % 10 / 10.0::double) + 0.15 / (1 + memory_id * 60.0::double / 86400), 9) score, turn % 10 / 10.0::double >= {CFG.pinned_at} pinned from pairs left join near using (request_id, memory_id)),
 ranked as (select *, row_number() over (partition by request_id order by score desc, memory_id)::integer as rank from scored)
-select request_id, memory_id, round(score, 6) score, pinned, rank from ranked where rank <= {CFG.memory_k}"""
+select request_id, memory_id, score, pinned, rank from ranked where rank <= {CFG.memory_k}"""
 
 
 def memory_capture(spark, sf_dir):

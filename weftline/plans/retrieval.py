@@ -17,10 +17,10 @@ CFG = Config()
 def vector_topk(spark, sf_dir):
     """The ten nearest of every embedding, itself among them."""
     e = base.table(spark, sf_dir, "embeddings")
-    return vectors.top_k(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding"), 10, "query_id", "vec_id").withColumn("similarity", F.round("similarity", 6))
+    return vectors.top_k(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select("vec_id", "embedding"), 10, "query_id", "vec_id")
 
 
-VECTOR_TOPK = """select query_id, vec_id, round(similarity, 6) similarity, rank::integer rank from (
+VECTOR_TOPK = """select query_id, vec_id, similarity, rank::integer rank from (
   select q.vec_id query_id, d.vec_id, s similarity, row_number() over (partition by q.vec_id order by s desc, d.vec_id) rank
   from embeddings q, embeddings d, lateral (select round(list_dot_product(q.embedding::double[], d.embedding::double[]), 9) s)) where rank <= 10"""
 
@@ -33,7 +33,7 @@ def _recall(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def document_topk(spark, sf_dir):
-    return _recall(spark, sf_dir)[2].withColumn("similarity", F.round("similarity", 6))
+    return _recall(spark, sf_dir)[2]
 
 
 VEC_CTE = f"""{base.DOCS}, {base.REQUESTS}, {base.vector_cte('dv', 'docs', 'doc_id', 'text')}, {base.vector_cte('rv', 'requests', 'request_id', 'user_message')}, dots as (
@@ -43,11 +43,11 @@ VEC_CTE = f"""{base.DOCS}, {base.REQUESTS}, {base.vector_cte('dv', 'docs', 'doc_
   select * from (select request_id, doc_id, similarity, row_number() over (partition by request_id order by similarity desc, doc_id)::integer as rank
     from (select request_id, doc_id, round(coalesce(s, 0), 9) similarity from visible left join dots using (request_id, doc_id))) where rank <= {CFG.recall_k}
 )"""
-DOCUMENT_TOPK = f"with {VEC_CTE} select request_id, doc_id, round(similarity, 6) similarity, rank from vec"
+DOCUMENT_TOPK = f"with {VEC_CTE} select request_id, doc_id, similarity, rank from vec"
 
 
 def lexical_topk(spark, sf_dir):
-    return retrieve.lexical_top_k(base.requests(spark, sf_dir), base.documents(spark, sf_dir), CFG.recall_k, "doc_id").withColumn("bm25", F.round("bm25", 6))
+    return retrieve.lexical_top_k(base.requests(spark, sf_dir), base.documents(spark, sf_dir), CFG.recall_k, "doc_id")
 
 
 LEX_CTE = f"""postings as (
@@ -62,7 +62,7 @@ LEX_CTE = f"""postings as (
     from wanted join postings using (term) join dfs using (term) join sizes using (doc_id) join stats on true
       join requests r using (request_id) join docs d using (doc_id) where {base.VISIBLE} group by all)) where rank <= {CFG.recall_k}
 )"""
-LEXICAL_TOPK = f"with {base.DOCS}, {base.REQUESTS}, {LEX_CTE} select request_id, doc_id, round(bm25, 6) bm25, rank from lex"
+LEXICAL_TOPK = f"with {base.DOCS}, {base.REQUESTS}, {LEX_CTE} select request_id, doc_id, bm25, rank from lex"
 
 
 def _fused(spark, sf_dir):
@@ -92,7 +92,7 @@ def _candidates(spark, sf_dir):
 
 
 def bm25_local(spark, sf_dir):
-    return retrieve.local_bm25(_candidates(spark, sf_dir), "doc_id").withColumn("bm25", F.round("bm25", 6))
+    return retrieve.local_bm25(_candidates(spark, sf_dir), "doc_id")
 
 
 LOCAL_CTE = f"""cand as (select request_id, doc_id, user_message, text, {base.terms('text')} t from fused join requests using (request_id) join docs using (doc_id)
@@ -107,7 +107,7 @@ LOCAL_CTE = f"""cand as (select request_id, doc_id, user_message, text, {base.te
   select request_id, doc_id, round(case when max(coalesce(s, 0)) over (partition by request_id) > 0 then coalesce(s, 0) / max(coalesce(s, 0)) over (partition by request_id) else 0 end, 9) bm25
   from cand left join raw using (request_id, doc_id)
 )"""
-BM25_LOCAL = f"with {FUSED_CTE}, {LOCAL_CTE} select request_id, doc_id, round(bm25, 6) bm25 from local"
+BM25_LOCAL = f"with {FUSED_CTE}, {LOCAL_CTE} select request_id, doc_id, bm25 from local"
 
 
 def ephemeral_topk(spark, sf_dir):
@@ -116,14 +116,14 @@ def ephemeral_topk(spark, sf_dir):
     w = Window.partitionBy("conv_id")
     last = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w)
     v = vectors.embed(turns.withColumn("last", last).where("last is not null"), "text").withColumnRenamed("conv_id", "request_id")
-    return retrieve.ephemeral_top_k(v.where("turn = last"), v.where("turn <> last"), CFG, "turn").withColumn("similarity", F.round("similarity", 6))
+    return retrieve.ephemeral_top_k(v.where("turn = last"), v.where("turn <> last"), CFG, "turn")
 
 
 EPHEMERAL = f"""with c as (select conv_id, turn, text, conv_id || ':' || turn key, max(case when role = 'user' then turn end) over (partition by conv_id) as last from conversations
 ), {base.vector_cte('v', 'c', 'key', 'text')}, q as (select conv_id, bucket, weight from v join c using (key) where turn = last
 ), sims as (select conv_id, turn, round(coalesce(s, 0), 9) similarity from c left join (select conv_id, key, sum(v.weight * q.weight) s from v join c using (key) join q using (conv_id, bucket) where turn <> last group by all) using (conv_id, key) where turn <> last
 ), ranked as (select conv_id request_id, turn, similarity, row_number() over (partition by conv_id order by similarity desc, turn)::integer as rank from sims)
-select request_id, turn, round(similarity, 6) similarity, rank from ranked where rank <= {CFG.ephemeral_k} and similarity >= {CFG.min_similarity}"""
+select request_id, turn, similarity, rank from ranked where rank <= {CFG.ephemeral_k} and similarity >= {CFG.min_similarity}"""
 
 
 def rerank_minmax(spark, sf_dir):
@@ -146,7 +146,7 @@ def rank_blend(spark, sf_dir):
     scored = sims.join(retrieve.local_bm25(c, "doc_id"), ["request_id", "doc_id"])
     scored = scored.withColumn("preferences", F.array(*map(F.lit, PREFERENCES))).withColumn("item_source", F.lit("document"))
     blended = rank.blend(rank.identity_rerank(scored), F.lit(base.AS_OF), CFG, source="item_source", order=["doc_id"])
-    return blended.select("request_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return blended.select("request_id", "doc_id", "score", "rank")
 
 
 W = Weights()
@@ -158,7 +158,7 @@ BLEND_CTE = f"""{FUSED_CTE}, {LOCAL_CTE}, blended as (
     from (select request_id, doc_id, d.text, user_message, d.ts, coalesce(f.similarity, 0) similarity, bm25
       from fused f join docs d using (doc_id) join requests using (request_id) join local using (request_id, doc_id)))
 )"""
-RANK_BLEND = f"with {BLEND_CTE} select request_id, doc_id, round(score, 6) score, rank from blended"
+RANK_BLEND = f"with {BLEND_CTE} select request_id, doc_id, score, rank from blended"
 
 QUERIES = {f.__name__: f for f in (vector_topk, document_topk, lexical_topk, rrf_fusion, bm25_local, ephemeral_topk, rerank_minmax, rank_blend)}
 ORACLE_SQL = {
