@@ -174,3 +174,42 @@ def test_engine_end_to_end(spark, tmp_path):
     assert sorted(r.text for r in e.chunks().collect()) == ["Replaced.", "The ZX-81 pump of others."]
     with pytest.raises(ingest.ModelMismatch):
         Engine(spark, str(tmp_path / "index"), model_name="other").ingest(docs)
+
+
+def test_fetchers_run_and_may_fail(spark):
+    def broken(_):
+        raise OSError("down")
+
+    req = spark.createDataFrame([(1, "a"), (2, "b")], "request_id bigint, user_message string")
+    got = sorted((r.request_id, r.source, r.text) for r in llm_stage.fetch(req, {"tool_output": lambda m: m + "!", "web_search": broken}).collect())
+    assert got == [(1, "tool_output", "a!"), (2, "tool_output", "b!")]
+
+
+def test_model_stages_fall_back(spark):
+    def client():
+        def reply(prompt):
+            if "fail" in prompt:
+                raise OSError("down")
+            return 'sure: [{"fact": "likes tea", "key": "tea", "value": "yes", "importance": 3}]' if "JSON" in prompt else "yes, short"
+
+        return reply
+
+    ex = spark.createDataFrame([(1, "I like tea", "ok"), (2, "fail", None)], "request_id bigint, user_message string, answer string")
+    assert [(r.request_id, r.key, r.importance) for r in llm_stage.model_facts(ex, client).collect()] == [(1, "tea", 1.0)]
+    items = spark.createDataFrame([(1, "x " * 50), (2, "fail " * 50), (3, "tiny")], "id int, text string")
+    assert [r.text for r in llm_stage.summarize(items, client, 10).orderBy("id").collect()] == ["yes, short", "fail " * 50, "tiny"]
+    claims = spark.createDataFrame([(1, "c", "x"), (1, "fail", "y")], "id int, context string, claim string")
+    assert llm_stage.judged(claims, client, "id").first().groundedness == 0.5
+
+
+def test_trace_counts_without_another_pass(spark):
+    from weftline.operators.trace import Trace
+
+    t = Trace()
+    df = t.stage("all", spark.range(10).withColumnRenamed("id", "request_id"))
+    t.stage("even", df.where("request_id % 2 = 0")).collect()
+    assert [(c["stage"], c["rows"]) for c in t.counts()] == [("all", 10), ("even", 5)] and '"even"' in t.line() and "even" in t.report()
+
+
+def test_gate():
+    assert evaluate.gate(0.9, 0.1, 0.05) == [] and len(evaluate.gate(0.1, 0.5, 0.2)) == 3

@@ -110,3 +110,18 @@ def groundedness(answers: DataFrame, sources: DataFrame, key: str, threshold: fl
 
 def claims(answer: str) -> Column:
     return F.filter(text.sentences(answer), lambda s: F.length(s) > 8)
+
+
+def hard_stratum(base: DataFrame, treated: DataFrame, order: str = "query_id", metric: str = "mrr") -> DataFrame:
+    """(queries, hard, hard_share, improved, degraded, tied): queries that the base does not answer at rank one."""
+    both = base.select(order, F.col(metric).alias("_a")).join(treated.select(order, F.col(metric).alias("_b")), order)
+    hard = F.col("_a") < 1
+    count = lambda c, name: F.count_if(hard & c).alias(name)
+    return both.agg(F.count("*").alias("queries"), F.count_if(hard).alias("hard"), F.round(F.avg(hard.cast("double")), 6).alias("hard_share"), count(F.col("_b") > F.col("_a"), "improved"), count(F.col("_b") < F.col("_a"), "degraded"), count(F.col("_b") == F.col("_a"), "tied"))
+
+
+def gate(recall: float, null_recall: float, random_recall: float, least: float = 0.60, most_null: float = 0.30) -> list[str]:
+    """What speaks against a release; empty if nothing does."""
+    found = [f"recall {recall:.2f} is under {least:.2f}"] if recall < least else []
+    found += [f"the control's recall {null_recall:.2f} is over {most_null:.2f}"] if null_recall > most_null else []
+    return found + ([f"recall {recall:.2f} is no better than chance"] if recall <= random_recall else [])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,3 +88,68 @@ def log_lines(rows: DataFrame) -> DataFrame:
 def audit_tail(log: DataFrame, n: int, order: list[str]) -> DataFrame:
     """The last ``n`` entries, oldest first."""
     return log.orderBy(*(F.desc(c) for c in order)).limit(n).orderBy(*order)
+
+
+def fetch(requests: DataFrame, fetchers: dict[str, Callable[[str], str]], threads: int = 8) -> DataFrame:
+    """(request_id, source, text): what every fetcher gives for every message, in parallel in each task as well.
+
+    A fetcher that fails gives nothing for that request.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(job: tuple) -> tuple | None:
+            request, source, message = job
+            try:
+                return request, source, fetchers[source](message)
+            except Exception:  # one source's failure is not the batch's
+                return None
+
+        with ThreadPoolExecutor(threads) as pool:
+            for f in frames:
+                jobs = [(i, s, m) for i, m in zip(f["request_id"], f["user_message"]) for s in fetchers]
+                yield pd.DataFrame([x for x in pool.map(one, jobs) if x], columns=["request_id", "source", "text"])
+
+    kind = requests.schema["request_id"].dataType.simpleString()
+    return requests.select("request_id", "user_message").mapInPandas(run, f"request_id {kind}, source string, text string")
+
+
+def ask_each(df: DataFrame, prompt: Column, client: Callable[[], Callable[[str], str]], out: str) -> DataFrame:
+    """``df`` with a model's reply to each row's prompt; null where it fails, so that callers can fall back."""
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = client()
+
+        def once(p: str | None) -> str | None:
+            try:
+                return None if p is None else model(p)
+            except Exception:  # the caller's fallback takes over
+                return None
+
+        for batch in batches:
+            yield batch.map(once)
+
+    return df.withColumn(out, ask(prompt))
+
+
+def summarize(items: DataFrame, client: Callable[[], Callable[[str], str]], max_tokens: int, column: str = "text") -> DataFrame:
+    """Items of too many tokens replaced by a model's summary; where it fails they stay."""
+    long = text.token_count(column) > max_tokens
+    asked = ask_each(items, F.when(long, F.concat(F.lit("Summarise, keep all facts:\n\n"), F.col(column))), client, "_wl_short")
+    return asked.withColumn(column, F.coalesce("_wl_short", F.col(column))).drop("_wl_short")
+
+
+def model_facts(exchanges: DataFrame, client: Callable[[], Callable[[str], str]]) -> DataFrame:
+    """(request_id, fact, key, value, importance) that a model lists as JSON; other replies give no row."""
+    prompt = F.concat(F.lit("List lasting facts about the user as a JSON array of {fact, key, value, importance}; [] if there are none.\n\nUser: "), F.substring("user_message", 1, 1000), F.lit("\nAnswer: "), F.substring(F.coalesce("answer", F.lit("")), 1, 1000))
+    raw = ask_each(exchanges, prompt, client, "_wl_raw")
+    listed = F.from_json(F.regexp_extract("_wl_raw", r"(?s)(\[.*\])", 1), "array<struct<fact:string,key:string,value:string,importance:double>>")
+    return raw.select("request_id", F.explode(listed).alias("f")).select("request_id", "f.fact", "f.key", "f.value", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce("f.importance", F.lit(0.5)))).alias("importance"))
+
+
+def judged(claims: DataFrame, client: Callable[[], Callable[[str], str]], key: str) -> DataFrame:
+    """(key, claims, supported, groundedness): a claim counts as supported if the model's reply begins with yes."""
+    prompt = F.concat(F.lit("Does the context support the claim? Answer YES or NO.\n\nContext:\n"), F.col("context"), F.lit("\n\nClaim: "), F.col("claim"))
+    out = ask_each(claims, prompt, client, "_wl_yes")
+    yes = F.count_if(F.coalesce(F.startswith(F.upper(F.trim("_wl_yes")), F.lit("YES")), F.lit(False)))
+    return out.groupBy(key).agg(F.count("*").alias("claims"), yes.alias("supported")).withColumn("groundedness", F.round(F.col("supported") / F.col("claims"), 6))

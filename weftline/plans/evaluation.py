@@ -182,3 +182,14 @@ ORACLE_SQL = {
     "eval_rankings": EVAL_RANKINGS, "eval_metrics": EVAL_METRICS, "eval_first_rank": FIRST_RANK, "eval_bootstrap": BOOTSTRAP, "eval_report": REPORT,
     "eval_paired": PAIRED, "eval_null_control": NULL_CONTROL, "eval_tune": TUNE, "eval_groundedness": GROUNDEDNESS,
 }
+
+
+def eval_hard_stratum(spark, sf_dir):
+    """What words gain or lose on queries that vectors miss at rank one."""
+    s = _scored(spark, sf_dir)[0]
+    return evaluate.hard_stratum(s.where("config = 'vector'"), s.where("config = 'lexical'"))
+
+
+HARD = f"""with {SCORED_CTE}, p as (select a.mrr a, b.mrr b from (select * from scored where config = 'vector') a join (select * from scored where config = 'lexical') b using (query_id))
+select count(*) queries, count(*) filter (a < 1) hard, round(avg((a < 1)::integer), 6) hard_share, count(*) filter (a < 1 and b > a) improved, count(*) filter (a < 1 and b < a) degraded, count(*) filter (a < 1 and b = a) tied from p"""
+QUERIES["eval_hard_stratum"], ORACLE_SQL["eval_hard_stratum"] = eval_hard_stratum, HARD
