@@ -15,7 +15,8 @@ def test_files_and_sync(spark, tmp_path):
     assert set(got) == {"a.txt", "b.HTML"} and got["b.HTML"].text.split() == ["hi", "you"]
     assert "�" in got["a.txt"].text and got["a.txt"].acl == ["g"] and got["a.txt"].tenant_id == "t"
 
-    first = sync.listing(spark, str(root)).cache()
+    first = sync.listing(spark, str(root))
+    first = spark.createDataFrame(first.collect(), first.schema)
     assert {r.action for r in sync.diff(first, first.limit(0)).collect()} == {"added"}
     (root / "a.txt").write_text("new")
     (root / "sub" / "b.HTML").unlink()
