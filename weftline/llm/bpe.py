@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, size_of, table, texts, tokenizer_dir, utf8
+from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, size_of, table, texts, tidy, tokenizer_dir, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -108,13 +108,16 @@ def _blocks(columns: list[str], text: str, block_chars: int, parts: int):
                     yield out()
                     seq, chars = seq + 1, 0
                     seen, kept, codes, lens = {}, [], [], []
+                    tidy()
         if kept:
             yield out()
+            seen, kept, codes, lens = {}, [], [], []
+        tidy()
 
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 8_000_000, part_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 16 << 20) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``token_ids``, an array of the ids of ``text``."""
     spark = docs.sparkSession
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != "token_ids"]
@@ -140,11 +143,14 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
                     ids.append(got)
                 out.append(put_arrays(np.array(list(map(len, ids)), np.uint32) // 4, np.frombuffer(b"".join(ids), np.uint32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["block", "part", "data"])
+        known.clear()
+        tidy()
 
     words = blocks.where("part >= 0").select("block", "part", "data")
     coded = words.repartition(parts, "part").mapInArrow(encode_words, "block bigint, part int, data binary")
 
     def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        tidy(False)  # of the group before
         rows = pa.ipc.open_stream(left["rows"][0].as_py()).read_all()
         codes, lens = get_arrays(left["data"][0].as_py())
         blobs = [get_arrays(right["data"][int(i)].as_py()) for i in np.argsort(right["part"].to_numpy())]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import os
 import struct
 
@@ -15,6 +17,7 @@ from pyspark.sql import types as T
 from weftline.shared import bucketed, remove, shared_dir, written, written_at  # noqa: F401
 
 TOKENIZER_DIR = "/opt/tokenizers"
+_LIBC = ctypes.CDLL(None) if hasattr(ctypes.CDLL(None), "malloc_trim") else None
 
 
 def tokenizer_dir(spark: SparkSession) -> str:
@@ -53,6 +56,16 @@ def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
     return F.broadcast(df) if size_of(df) <= limit else df
 
 
+def by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of the smallest hashes of ``key``.
+
+    Sorting out n rows sends n rows of every task to the driver, so those that can't be among them go first: some 4n are left.
+    """
+    total, h = df.count(), F.xxhash64(key)  # of files' footers
+    few = df.where(h < F.lit(int(4 * n / total * 2**64) - 2**63)) if total > 4 * n else df
+    return few.orderBy(h, key).limit(n)
+
+
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes to id of a rank file."""
     with open(path, "rb") as f:
@@ -83,6 +96,15 @@ def utf8(text: str) -> str:
         return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
+def tidy(cycles: bool = True) -> None:
+    """Give memory that is free, but held by the allocators, back to the machine; workers live on between tasks."""
+    if cycles:
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def put_arrays(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed blob, the bytes of each in planes."""
     heads = struct.pack("<B", len(arrays)) + b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)) for a in arrays)

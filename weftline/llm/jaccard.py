@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import broadcast_if_small, table, texts, utf8, written
+from weftline.llm.common import broadcast_if_small, table, texts, tidy, utf8, written
 from weftline.llm.graph import components
 
 WORD = re.compile(r"[^\W_]+")
@@ -139,6 +139,8 @@ def _signed(docs: DataFrame, cfg: Config) -> DataFrame:
             flat = np.concatenate(lab) if lab else np.zeros(0, np.int64)
             off = pa.array(np.arange(len(lab) + 1, dtype=np.int32) * cfg.trees)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(off, pa.array(flat))], names=["doc_id", "fp", "key", "grams", "labels"])
+        del s
+        tidy()
 
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
     return read.mapInArrow(run, "doc_id bigint, fp bigint, key binary, grams int, labels array<bigint>")
@@ -178,6 +180,8 @@ def verified(docs: DataFrame, found: DataFrame, cfg: Config, spanning: bool = Fa
         for batch in _parts(batches):
             sets = s.sets(texts(batch, "text"))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array([g.tobytes() for g in sets], pa.binary())], names=["component", "slices", "slice", "key", "labels", "set"])
+        del s
+        tidy()
 
     sets = held.mapInArrow(shingle, "component binary, slices int, slice int, key binary, labels array<bigint>, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import appended, plus, table, texts
+from weftline.llm.common import appended, plus, table, texts, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 RESULT = "toxicity double, toxic_windows int, windows int, toxic boolean"
@@ -236,7 +236,7 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
 
     def windows(t: list[str]) -> np.ndarray:
         ids = np.array([vocab.get(w, 0) for w in t])
-        out = np.zeros((len(starts := windows_of(len(t), cfg)), cfg.window), int)
+        out = np.zeros((len(starts := windows_of(len(t), cfg)), cfg.window), np.int32)
         for i, s in enumerate(starts):
             part = ids[s : s + cfg.window]
             out[i, : len(part)] = part
@@ -252,7 +252,7 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
         if epoch >= 2 and epoch % 2 == 0:  # the worst window of each document
             feats = _features(p, rows_a, off, wr)
             proj = _project(p, feats)
-            score = np.concatenate([_forward(p, proj, every[i : i + 2048].T)[0] for i in range(0, len(every), 2048)])
+            score = np.concatenate([_forward(p, proj, every[i : i + 512].T)[0] for i in range(0, len(every), 512)])
             pick = [int(np.argmax(score[e - len(w) : e])) for (w, _), e in zip(train, ends)]
         elif epoch < 2:
             pick = [int(rng.integers(len(w))) for w, _ in train]
@@ -294,13 +294,14 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
             if norm > 5:
                 grad = {k: g * np.float32(5 / norm) for k, g in grad.items()}
             adam.step(grad)
+    del train, every, adam
     model = Model(cfg, grams, words, p)
     scorer = Scorer(model)
     scored = scorer.score([t for t, _ in docs])
     s, y = np.array([x[0] for x in scored]), np.array([y for _, y in docs])
     model.threshold = _cut(s, y)
     hs, hy = s[:held] >= model.threshold, y[:held] == 1
-    model.report = {"docs": len(docs), "held_out": held, "accuracy": float((hs == hy).mean()) if held else 1.0, "recall": float((hs & hy).sum() / max(1, hy.sum())), "precision": float((hs & hy).sum() / max(1, hs.sum())), "loss": loss / len(train)}
+    model.report = {"docs": len(docs), "held_out": held, "accuracy": float((hs == hy).mean()) if held else 1.0, "recall": float((hs & hy).sum() / max(1, hy.sum())), "precision": float((hs & hy).sum() / max(1, hs.sum())), "loss": loss / max(1, len(docs) - held)}
     return model
 
 
@@ -325,7 +326,7 @@ def _cut(score: np.ndarray, y: np.ndarray) -> float:
 class Scorer:
     """Scores lists of words; keeps the network inputs of words it has seen."""
 
-    def __init__(self, model: Model, keep_words: int = 500_000, chunk: int = 2048):
+    def __init__(self, model: Model, keep_words: int = 250_000, chunk: int = 1024):
         self.m, self.keep, self.chunk = model, keep_words, chunk
         self._reset()
 
@@ -414,6 +415,8 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     "toxicity": pa.array([g[0] for g in got], pa.float64()), "toxic_windows": pa.array([g[1] for g in got], pa.int32()),
                     "windows": pa.array([g[2] for g in got], pa.int32()), "toxic": pa.array([g[2] > 0 and scorer.m.trained and g[0] >= scorer.m.threshold for g in got], pa.bool_()),
                 })
+        del scorer
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
@@ -430,6 +433,8 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 docs_ = [tokens(t) for t in texts(batch, text)]
                 got = [x for i, k in _batches(docs_, 200_000) for x in scorer.score(docs_[i:k])]
                 yield batch.filter(pa.array([g[2] == 0 or not scorer.m.trained or g[0] < scorer.m.threshold for g in got], pa.bool_()))
+        del scorer
+        tidy()
 
     return docs.mapInArrow(run, docs.schema)
 
