@@ -81,3 +81,12 @@ def test_nasty_rows_clashes_and_empty(model, nasty, empty):
 def test_query_covers_every_document(spark, sf_dir, documents):
     got = pii.op3_pii(spark, sf_dir)
     assert got.count() == documents.count() and got.where("size(spans) > 0").count() > 0
+
+
+def test_sample_is_that_of_the_smallest_hashes(spark):
+    from weftline.llm.common import by_hash
+
+    df = spark.range(5000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    want = [r.doc_id for r in df.orderBy(F.xxhash64("doc_id"), "doc_id").limit(50).collect()]
+    assert [r.doc_id for r in by_hash(df, "doc_id", 50).collect()] == want
+    assert by_hash(df.limit(3), "doc_id", 50).count() == 3

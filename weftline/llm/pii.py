@@ -28,9 +28,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from weftline.llm.common import appended, plus, table, texts
+from weftline.llm.common import appended, by_hash, plus, table, texts, tidy
 
 LABELS = ("NONE", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
 RESULT = "spans array<struct<start:int,end:int,label:string>>, redacted string"
@@ -432,14 +431,15 @@ def without(docs: DataFrame, model: Model, text: str = "text", length: str | Non
                     old = batch.column(batch.schema.get_field_index(length))
                     made[length] = pa.array([len(t) if s else n for t, s, n in zip(new, got, old.to_pylist())], old.type)
                 yield appended(batch, schema, made)
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
 
 def sample(docs: DataFrame, max_docs: int) -> list[str]:
     """Up to ``max_docs`` texts, chosen by a hash of their id."""
-    rows = docs.where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("text").collect()
-    return [r[0] for r in rows]
+    rows = by_hash(docs.select("doc_id", "text"), "doc_id", max_docs).select("text").collect()
+    return [r[0] for r in rows if r[0] is not None]
 
 
 def fit_tables(spark: SparkSession, sf_dir: str, cfg: Config = Config()) -> Model:
