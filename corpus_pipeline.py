@@ -18,25 +18,37 @@ from weftline.llm import bpe, decontaminate, jaccard, pii, toxicity
 from weftline.llm.common import table, tokenizer_dir, written
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts go to Python in batches of fewer rows than Spark's default, whose buffers would take a large part of an executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return toxicity.clean(docs, toxicity.fit_tables(spark, sf_dir))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.dedup(docs)
 
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     model = pii.fit(pii.sample(docs, pii.Config().max_docs))
     return pii.without(docs, model, length="n_chars" if "n_chars" in docs.columns else None)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, with ``token_ids``, ``n_tokens`` and the text ``decoded`` from the ids."""
+    small_batches(spark)
     vocabulary = f"{tokenizer_dir(spark)}/{bpe.VOCABULARY}"
     got = bpe.encode(docs, vocabulary).withColumn("n_tokens", F.size("token_ids"))
     return bpe.decode(got, vocabulary)
