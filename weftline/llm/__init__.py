@@ -1,6 +1 @@
 """Training-data operators: tokenising, cleaning, deduplicating and scoring text corpora."""
-
-import os
-
-for _name in ("OMP_NUM_THREADS", "OPENBLAS_NUM_THREADS"):  # the networks' products are small: more threads only wait for each other
-    os.environ.setdefault(_name, "1")
