@@ -1,6 +1,7 @@
 from collections import defaultdict
-from itertools import combinations
+from itertools import combinations, groupby
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,31 @@ def test_depth_gives_the_recall():
     assert 1 - (1 - cfg.threshold**depth) ** cfg.trees >= 0.94 and depth >= 1
 
 
+def test_bands_have_the_candidates_of_a_forest(spread):
+    """A forest with max_depth minhashes a tree, shortened level by level until the recall is met."""
+    cfg = j.Config()
+    s = j.Shingler(cfg)
+    sets = [g for g in s.sets([t for i, t in spread if i % 1000 < 40]) if len(g)]
+    depth = len(s.a) // cfg.trees
+    rng = np.random.default_rng(5)
+    more = rng.integers(0, 1 << 32, (cfg.trees, cfg.max_depth - depth, 2), dtype=np.uint32) | np.uint32(1)
+    mul = np.concatenate([s.a.reshape(cfg.trees, -1), more[:, :, 0]], 1)
+    add = np.concatenate([s.b.reshape(cfg.trees, -1), more[:, :, 1]], 1)
+    low = [(g >> np.uint64(16)).astype(np.uint32) for g in sets]
+    sig = np.array([[[int((m * x + a).min()) for m, a in zip(mul[t], add[t])] for t in range(cfg.trees)] for x in low])
+    met, level = set(), cfg.max_depth
+    while True:
+        for t in range(cfg.trees):
+            order = sorted(range(len(sig)), key=lambda i: tuple(sig[i, t]))  # a sorted trie
+            for _, run in groupby(order, key=lambda i: tuple(sig[i, t, :level])):
+                met |= {tuple(sorted(p)) for p in combinations(run, 2)}
+        if 1 - (1 - cfg.threshold**level) ** cfg.trees >= cfg.recall - 0.005:
+            break
+        level -= 1
+    labels = [s.labels(g) for g in sets]
+    assert met == {(a, b) for a, b in combinations(range(len(sets)), 2) if (labels[a] == labels[b]).any()} and len(met) > 20
+
+
 def test_query(spark, sf_dir, documents):
     got = pairs(j.op6_jaccard_pairs(spark, sf_dir))
     want = brute([(r.doc_id, r.text) for r in documents.collect()], j.Config().threshold)

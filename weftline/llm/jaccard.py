@@ -1,12 +1,14 @@
-"""N-gram Jaccard join with a MinHash LSH forest.
+"""N-gram Jaccard join with banded MinHash LSH.
 
 1. Each text becomes its set of word n-grams (64-bit hashes) and a signature of
-   ``trees * max_depth`` minhashes. Texts with the same set are collapsed to one node,
+   ``trees * depth_for`` minhashes. Texts with the same set are collapsed to one node,
    exactly, by a 128-bit hash of the set.
-2. A tree of the forest is the sorted trie of ``max_depth`` minhashes of each node. Two nodes
-   are candidates where they share a prefix in any tree. The matched prefix starts at
-   ``max_depth`` and is shortened until pairs at the threshold are met with the target
-   recall (``depth_for``); the prefix of that length is the trie node both sort under.
+2. Each band (``trees`` of them) has ``depth_for`` minhashes, folded to one label. Two nodes
+   are candidates where they have the same label in any band. This is what an LSH forest comes
+   to in a join at one threshold: its prefixes are shortened until pairs at the threshold are
+   met with the target recall, which is the same length for all nodes and known beforehand
+   (``depth_for``), and who shares a longer prefix shares this one. No signature is sorted and
+   no prefix is matched at other lengths.
 3. Nodes linked by candidates, directly or through others, are brought together once, with
    their sets, and every candidate pair among them is verified exactly. A group too large for
    one task is cut into slices, and each pair of slices is a task; nothing is capped.
@@ -48,6 +50,7 @@ class Config:
     n: int = 3
     threshold: float = 0.7
     trees: int = 24
+    #: The longest band that is tried.
     max_depth: int = 8
     recall: float = 0.95
     #: n-grams that one verifying task holds for each of its two slices.
@@ -56,7 +59,7 @@ class Config:
 
 
 def depth_for(cfg: Config) -> int:
-    """The longest prefix at which a pair at the threshold is met with the target recall."""
+    """The longest band at which a pair at the threshold is met with the target recall."""
     for depth in range(cfg.max_depth, 0, -1):
         if 1 - (1 - cfg.threshold**depth) ** cfg.trees >= cfg.recall - 0.005:
             return depth
@@ -101,7 +104,7 @@ class Shingler:
         return out
 
     def labels(self, grams: np.ndarray) -> np.ndarray:
-        """One 64-bit label for each tree: its prefix of minhashes."""
+        """One 64-bit label for each band of minhashes."""
         low = (grams >> np.uint64(16)).astype(np.uint32)
         sig = np.full(len(self.a), np.uint32(0xFFFFFFFF))
         for i in range(0, len(low), 2048):
@@ -154,7 +157,7 @@ def nodes(docs: DataFrame, cfg: Config) -> DataFrame:
 
 
 def candidate_groups(found: DataFrame) -> DataFrame:
-    """(key, component): nodes that share a trie prefix with another, linked transitively."""
+    """(key, component): nodes that share a label with another, linked transitively."""
     rows = found.select("key", F.posexplode("labels").alias("tree", "label"))
     w = Window.partitionBy("tree", "label")
     stars = rows.select("key", F.min("key").over(w).alias("hub")).where("key <> hub")
