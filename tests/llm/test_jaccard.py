@@ -52,6 +52,19 @@ def test_recall_and_exactness_against_all_pairs(spark, spread):
     assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 100
 
 
+def test_copies_with_replaced_words_are_found(spark, documents):
+    rows = [(r.doc_id, r.text) for r in documents.collect() if len(grams(r.text)) >= 60]
+    copies = {}
+    for i, t in rows:
+        for k in (9, 11, 14):  # each k-th word
+            copies[i, 10_000 * k + i] = " ".join(f"new{p}" if p % k == 4 else x for p, x in enumerate(t.split()))
+    by = dict(rows)
+    alike = {p: len(grams(by[p[0]]) & grams(t)) / len(grams(by[p[0]]) | grams(t)) for p, t in copies.items()}
+    want = {p for p, x in alike.items() if 0.5 <= x < 0.7}
+    got = pairs(j.join(spark.createDataFrame(rows + [(p[1], t) for p, t in copies.items()], "doc_id bigint, text string")))
+    assert len(want) > 100 and len(got & want) >= 0.9 * len(want)
+
+
 def test_small_slices_give_the_same(spark, spread):
     df = spark.createDataFrame(spread, "doc_id bigint, text string")
     assert pairs(j.join(df, j.Config(slice_grams=2000))) == pairs(j.join(df))

@@ -48,8 +48,9 @@ PAIRS = "doc_a bigint, doc_b bigint, jaccard double, copies_a array<bigint>, cop
 @dataclass(frozen=True)
 class Config:
     n: int = 3
-    threshold: float = 0.7
-    trees: int = 24
+    #: A changed word costs n n-grams: copies with a tenth of their words changed are at 0.5 to 0.6.
+    threshold: float = 0.5
+    trees: int = 96
     #: The longest band that is tried.
     max_depth: int = 8
     recall: float = 0.95
@@ -169,24 +170,25 @@ def verified(docs: DataFrame, found: DataFrame, cfg: Config, spanning: bool = Fa
 
     With ``spanning`` only as many of them as link the same nodes.
     """
-    groups = written(found.select("key", "doc_id", "fp", "grams", "labels").join(candidate_groups(found), "key"), "groups")
+    groups = written(found.select("key", "doc_id", "fp", "grams").join(candidate_groups(found), "key"), "groups")
     load = groups.groupBy("component").agg(F.sum("grams").alias("load"))
     slices = F.greatest(F.lit(1), F.ceil(F.col("load") / cfg.slice_grams)).cast("int")
     placed = groups.join(load.select("component", slices.alias("slices")), "component")
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("key"), "slices").cast("int"))
     wanted = broadcast_if_small(placed.drop("grams"), 32 << 20)
     read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    held = wanted.join(read, ["doc_id", "fp"]).select("component", "slices", "slice", "key", "labels", "text")
+    held = wanted.join(read, ["doc_id", "fp"]).select("component", "slices", "slice", "key", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(cfg)
         for batch in _parts(batches):
             sets = s.sets(texts(batch, "text"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array([g.tobytes() for g in sets], pa.binary())], names=["component", "slices", "slice", "key", "labels", "set"])
+            labels = [s.labels(g) for g in sets]  # again, as they are larger than what would have to move with them
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["component", "slices", "slice", "key", "labels", "set"])
         del s
         tidy()
 
-    sets = held.mapInArrow(shingle, "component binary, slices int, slice int, key binary, labels array<bigint>, set binary")
+    sets = held.mapInArrow(shingle, "component binary, slices int, slice int, key binary, labels binary, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     cells = sets.withColumn("other", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other")).drop("slices", "other")
 
@@ -198,7 +200,7 @@ def verified(docs: DataFrame, found: DataFrame, cfg: Config, spanning: bool = Fa
         keys = sorted(first)
         at = [first[k] for k in keys]
         side = t["slice"].to_numpy()[at]
-        labels = np.array([t["labels"][i].as_py() for i in at], np.int64)
+        labels = np.stack([np.frombuffer(t["labels"][i].as_py(), np.int64) for i in at])
         sets = [np.frombuffer(t["set"][i].as_py(), np.uint64) for i in at]
         a, b, j = _pairs(sets, labels, side if low != high else None, cfg)
         if spanning and len(a):
