@@ -72,5 +72,13 @@ def test_nasty_rows_and_empty_table(nasty, empty):
     assert fertility.rules(empty, TOKENIZER_DIR).count() == 0
 
 
+def test_a_single_very_long_text_of_one_line_is_rejected(spark, documents):
+    rows = [(r.doc_id, r.text, "en") for r in documents.where("lang = 'en' and length(text) > 200").collect()]
+    line = rows[0][1][:120]
+    df = spark.createDataFrame([*rows, (-1, line * 4000, "en")], "doc_id bigint, text string, lang string")
+    (got,) = fertility.rules(df, TOKENIZER_DIR).where("doc_id = -1").collect()
+    assert got.reasons == ["evenness"] and not got.keep
+
+
 def test_script_of():
     assert fertility.script_of("abcd где") == "latin" and fertility.script_of("где abc") == "cyrillic" and fertility.script_of("1 2") == fertility.script_of(None) == "none"

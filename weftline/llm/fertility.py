@@ -9,7 +9,10 @@ maximum for that many tokens, which falls with a text's length.
 Bands. The language of a row is its ``lang``, else the script of most of its letters. Per
 language, and for evenness per language and class of length (powers of two of tokens), the
 quartiles of each measure over all documents give a band of ``fence`` quartile distances
-beyond them, at least as wide as ``least`` says. Rows outside a band are rejected, with the
+beyond them, at least as wide as ``least`` says. A class of length with fewer than ``support``
+rows has a second band, of its rows and those of the nearest classes, as many on either side as
+needed, or else a single text would be its own measure; the narrower end holds. A language of
+so few rows in all has what it has. Rows outside a band are rejected, with the
 measures as ``reasons``. Texts of fewer than ``min_tokens`` tokens are not judged by evenness
 or characters per token: they say nothing of them yet.
 
@@ -51,6 +54,8 @@ class Config:
     byte_share: tuple = (None, 0.02)
     evenness: tuple = (0.06, None)
     min_tokens: int = 24
+    #: Rows of a language from which the quartiles of a class of length are taken, if it has so many.
+    support: int = 20
     grain: int = 4  # decimals
 
 
@@ -165,6 +170,15 @@ def bands(measured: DataFrame, cfg: Config = Config()) -> DataFrame:
     values = measured.where("n_tokens > 0").select("band", "n_tokens", F.explode(cells).alias("c")).select("band", "n_tokens", "c.*")
     values = values.where((F.col("measure") == "byte_share") | (F.col("n_tokens") >= cfg.min_tokens))
     counts = values.groupBy("measure", "band", "class", "value").count()
+    counts = written(counts, "fertility-counts")
+    own, wide = _banded(counts, cfg), _banded(_supported(counts, cfg), cfg)
+    wide = wide.select("measure", "band", "class", F.col("low").alias("low2"), F.col("high").alias("high2"))
+    both = own.join(wide, ["measure", "band", "class"], "left")
+    return both.select("measure", "band", "class", F.greatest("low", "low2").alias("low"), F.least("high", "high2").alias("high"))
+
+
+def _banded(counts: DataFrame, cfg: Config) -> DataFrame:
+    """(measure, band, class, low, high) from counts of values."""
     w = Window.partitionBy("measure", "band", "class")
     upto = counts.withColumn("upto", F.sum("count").over(w.orderBy("value"))).withColumn("all", F.sum("count").over(w))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("all") * q), F.col("value")))
@@ -176,6 +190,15 @@ def bands(measured: DataFrame, cfg: Config = Config()) -> DataFrame:
     return q.select("measure", "band", "class", F.when(pick(0).isNotNull(), low).alias("low"), F.when(pick(1).isNotNull(), high).alias("high"))
 
 
+def _supported(counts: DataFrame, cfg: Config) -> DataFrame:
+    """Of the classes of few rows, ``counts`` with those of the nearest classes."""
+    sizes = counts.groupBy("measure", "band", "class").agg(F.sum("count").alias("size"))
+    near = sizes.where(F.col("size") < cfg.support).select("measure", "band", F.col("class").alias("of")).join(sizes, ["measure", "band"]).withColumn("far", F.abs(F.col("of") - F.col("class")))
+    w = Window.partitionBy("measure", "band", "of").orderBy("far").rangeBetween(Window.unboundedPreceding, -1)
+    taken = near.withColumn("nearer", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("nearer") < cfg.support).select("measure", "band", "class", "of")
+    return counts.join(taken, ["measure", "band", "class"]).groupBy("measure", "band", F.col("of").alias("class"), "value").agg(F.sum("count").alias("count"))
+
+
 def length_class():
     return F.floor(F.log2(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double"))).cast("int")
 
