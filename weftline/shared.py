@@ -52,3 +52,20 @@ def bucketed(df: DataFrame, name: str, column: str, buckets: int) -> tuple[DataF
     path, key = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", f"wl_{name.replace('-', '_')}_{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, column).saveAsTable(key)
     return spark.table(key), path
+
+
+class Scratch:
+    """Tables that only one job's steps read: written as ``written`` does, and removed together once they have been read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        got, path = written_at(df, name)
+        self.paths.append(path)
+        return got
+
+    def clear(self) -> None:
+        for path in self.paths:
+            remove(self.spark, path)
+        self.paths = []
