@@ -1,27 +1,33 @@
-"""N-gram Jaccard join with banded MinHash LSH.
-
-1. Each text becomes its set of word n-grams (64-bit hashes) and a signature of
-   ``trees * depth_for`` minhashes. Texts with the same set are collapsed to one node,
-   exactly, by a 128-bit hash of the set.
-2. Each band (``trees`` of them) has ``depth_for`` minhashes, folded to one label. Two nodes
-   are candidates where they have the same label in any band. This is what an LSH forest comes
-   to in a join at one threshold: its prefixes are shortened until pairs at the threshold are
-   met with the target recall, which is the same length for all nodes and known beforehand
-   (``depth_for``), and who shares a longer prefix shares this one. No signature is sorted and
-   no prefix is matched at other lengths.
-3. Nodes linked by candidates, directly or through others, are brought together once, with
-   their sets, and every candidate pair among them is verified exactly. A group too large for
-   one task is cut into slices, and each pair of slices is a task; nothing is capped.
-
-The join's rows: ``doc_a < doc_b``, their exact ``jaccard``, and ``copies_a`` / ``copies_b``,
-all documents with the same n-gram set as either. A set that several documents share has a
-row of its own with jaccard 1.0, its two smallest ids, and all its documents as copies.
-
-Cases: null or empty texts, and texts without a word, match nothing. Texts of less than n
-words have one n-gram, all their words. Rows with a null id match nothing and stay in a
-deduplication. Repeated rows (one id, one text) are one document in the join; deduplication
-keeps one of them. Of ties the smallest id stays. An empty table gives empty results. Other
-columns are kept by deduplication and ignored by the join.
+"""N-gram Jaccard join by a MinHash LSH forest.
+
+1. Each text becomes its set of word n-grams (64-bit hashes). Texts with the same set are one
+   node, by a 128-bit hash of the set; ``members`` has each document's node.
+2. The forest has ``trees`` tries. In each, a node's path is a signature of ``max_depth``
+   minhashes, a byte of each, so a path is one 64-bit number and the numbers' order is the
+   trie's. The shortest prefixes that may ever be matched (``floors``) are those at which a pair
+   at the threshold is met with the target recall: one tree after another gives up its last
+   level until that is so. Nodes that share such a prefix in any tree form a group.
+3. Within a group matched prefixes are shortened adaptively (``Group``). All nodes begin at
+   whole paths. At each step the pairs met by now are verified exactly, and every node
+   estimates its recall from its own partners: a partner of similarity s counts as
+   1 / p(s) partners, p(s) being the probability to have met it by now, and one partner at the
+   threshold is supposed to be still missing with probability 1 - p(threshold). Nodes whose
+   recall is at the target stop, and a pair is met as long as either of its nodes goes on. So
+   nodes in dense neighbourhoods stop at long prefixes and all others go on to the floors.
+4. Groups too large for one task are cut into slices, and each pair of slices is a task;
+   nothing is capped. A task gives each node's number of partners and only those pairs that
+   hold its nodes together, so its rows grow with its nodes, not with its pairs.
+
+The join has one row for each document with an id: ``class_id``, the smallest id of those that
+it is linked to directly or through others, ``class_size``, and ``links``, the number of other
+documents at the threshold (copies with the same set, and those of all verified partners).
+
+Cases: null or empty texts, and texts without a word, are classes of their own without links.
+Texts of less than n words have one n-gram, all their words. Very long texts are taken whole.
+Rows with a null id are not in the join and stay in a deduplication. Repeated rows (one id, one
+text) are one document; deduplication keeps one of them. One id with several texts is as many
+documents. Of ties the smallest id stays. An empty table gives empty results. Other columns,
+whatever their names, are kept by deduplication and ignored by the join.
 """
 
 from __future__ import annotations
@@ -30,19 +36,23 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import broadcast_if_small, table, texts, tidy, utf8, written
+from weftline.llm.common import Scratch, broadcast_if_small, table, texts, tidy, utf8, written
 from weftline.llm.graph import components
 
 WORD = re.compile(r"[^\W_]+")
-PAIRS = "doc_a bigint, doc_b bigint, jaccard double, copies_a array<bigint>, copies_b array<bigint>"
+
+
+#: Classes of similarity, from the threshold to 1, by which nodes count their partners.
+BINS = 20
 
 
 @dataclass(frozen=True)
@@ -50,8 +60,8 @@ class Config:
     n: int = 3
     #: A changed word costs n n-grams: copies with a tenth of their words changed are at 0.5 to 0.6.
     threshold: float = 0.5
-    trees: int = 96
-    #: The longest band that is tried.
+    trees: int = 64
+    #: Minhashes of a whole path, a byte each.
     max_depth: int = 8
     recall: float = 0.95
     #: n-grams that one verifying task holds for each of its two slices.
@@ -59,22 +69,39 @@ class Config:
     seed: int = 1
 
 
-def depth_for(cfg: Config) -> int:
-    """The longest band at which a pair at the threshold is met with the target recall."""
-    for depth in range(cfg.max_depth, 0, -1):
-        if 1 - (1 - cfg.threshold**depth) ** cfg.trees >= cfg.recall - 0.005:
-            return depth
-    return 1
+def met(s, depths: np.ndarray):
+    """The probability that a pair of similarity ``s`` shares a prefix of ``depths[t]`` in some tree t."""
+    return 1 - np.prod(1 - np.asarray(s, float)[..., None] ** depths, -1)
+
+
+@cache
+def floors(cfg: Config) -> np.ndarray:
+    """The shortest prefix of each tree: shortened tree by tree until pairs at the threshold have the target recall."""
+    depths = np.full(cfg.trees, cfg.max_depth)
+    for depth in range(cfg.max_depth - 1, 0, -1):
+        for t in range(cfg.trees):
+            if met(cfg.threshold, depths) >= cfg.recall:
+                return depths
+            depths[t] = depth
+    return depths
+
+
+@cache
+def steps(cfg: Config) -> list[tuple[np.ndarray, np.ndarray, float]]:
+    """From whole paths down to the floors: prefixes, what a partner in each class of similarity counts, what a node still lacks."""
+    low, edge = floors(cfg), cfg.threshold + (1 - cfg.threshold) * np.arange(BINS) / BINS
+    plan = [np.maximum(low, d) for d in range(cfg.max_depth, low.min() - 1, -1)]
+    return [(d, 1 / met(edge, d), float(1 - met(cfg.threshold, d))) for d in plan]
 
 
 class Shingler:
-    """Sorted n-gram hashes of texts; keeps the hashes of words it has seen."""
+    """Sorted n-gram hashes of texts, and their paths; keeps the hashes of words it has seen."""
 
     def __init__(self, cfg: Config, keep: int = 500_000):
         self.cfg, self.keep, self.seen = cfg, keep, {}
         rng = np.random.default_rng(cfg.seed)
         self.mul = (rng.integers(1, 1 << 63, cfg.n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-        k = cfg.trees * depth_for(cfg)
+        k = cfg.trees * cfg.max_depth
         self.a = (rng.integers(1, 1 << 31, k, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, k, dtype=np.uint32)
 
@@ -104,20 +131,26 @@ class Shingler:
             out.append(np.unique(h))
         return out
 
-    def labels(self, grams: np.ndarray) -> np.ndarray:
-        """One 64-bit label for each band of minhashes."""
+    def paths(self, grams: np.ndarray) -> np.ndarray:
+        """One path for each tree: the first minhash in the highest byte."""
         low = (grams >> np.uint64(16)).astype(np.uint32)
         sig = np.full(len(self.a), np.uint32(0xFFFFFFFF))
-        for i in range(0, len(low), 2048):
-            v = np.multiply.outer(self.a, low[i : i + 2048])
-            v += self.b[:, None]
-            np.minimum(sig, v.min(1), out=sig)
-        rows = sig.reshape(self.cfg.trees, -1).astype(np.uint64)
-        h = np.zeros(len(rows), np.uint64)
-        for c in range(rows.shape[1]):
-            h = (h ^ rows[:, c]) * np.uint64(0x9E3779B97F4A7C15)
-            h ^= h >> np.uint64(31)
-        return h.view(np.int64)
+        for i in range(0, len(low), 512):
+            v = np.multiply.outer(low[i : i + 512], self.a)
+            v += self.b
+            np.minimum(sig, v.min(0), out=sig)
+        byte = ((sig * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).reshape(self.cfg.trees, -1)
+        if byte.shape[1] < 8:
+            byte = np.concatenate([byte, np.zeros((len(byte), 8 - byte.shape[1]), np.uint8)], 1)
+        return np.ascontiguousarray(byte).view(">u8").ravel().astype(np.uint64)
+
+
+def prefixes(paths: np.ndarray, depths: np.ndarray) -> np.ndarray:
+    """One 64-bit label of (tree, prefix) for each tree; labels that clash by chance cost a comparison only."""
+    h = (paths >> (64 - 8 * depths).astype(np.uint64)) + (np.arange(len(paths), dtype=np.uint64) << np.uint64(57))
+    for m in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(m)
+    return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
 def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
@@ -126,71 +159,89 @@ def _parts(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield whole.slice(at, rows)
 
 
-def _signed(docs: DataFrame, cfg: Config) -> DataFrame:
-    """(doc_id, fp, key, grams, labels) of every document with a word and an id."""
+def _read(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+
+
+def members(docs: DataFrame, cfg: Config, keep: int = 200_000) -> DataFrame:
+    """(key, doc_id, fp, rows, grams, paths) of every document; key is null without a word.
+
+    A task computes the paths of a set where it first meets it; they are null in further rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = Shingler(cfg)
-        for batch in _parts(batches):
-            ids, fp, key, n, lab = [], [], [], [], []
-            for i, f, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), s.sets(texts(batch, "text"))):
-                if len(g):
-                    ids.append(i)
-                    fp.append(f)
-                    key.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest())
+        s, known = Shingler(cfg), set()
+        try:
+            for batch in _parts(batches):
+                key, n, paths = [], [], []
+                for g in s.sets(texts(batch, "text")):
+                    k = hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None
+                    key.append(k)
                     n.append(len(g))
-                    lab.append(s.labels(g))
-            flat = np.concatenate(lab) if lab else np.zeros(0, np.int64)
-            off = pa.array(np.arange(len(lab) + 1, dtype=np.int32) * cfg.trees)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fp, pa.int64()), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.ListArray.from_arrays(off, pa.array(flat))], names=["doc_id", "fp", "key", "grams", "labels"])
-        del s
-        tidy()
+                    paths.append(s.paths(g).tobytes() if k and k not in known else None)
+                    known.add(k)
+                if len(known) > keep:
+                    known = set()
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(key, pa.binary()), pa.array(n, pa.int32()), pa.array(paths, pa.binary())], names=["doc_id", "fp", "key", "grams", "paths"])
+        finally:
+            del s, known
+            tidy()
 
-    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    return read.mapInArrow(run, "doc_id bigint, fp bigint, key binary, grams int, labels array<bigint>")
+    got = _read(docs).mapInArrow(run, "doc_id bigint, fp bigint, key binary, grams int, paths binary")
+    one = got.groupBy("key", "doc_id", "fp").agg(F.count("*").alias("rows"), F.max("grams").alias("grams"), F.first("paths", ignorenulls=True).alias("paths"))
+    return written(one, "members")
 
 
-def nodes(docs: DataFrame, cfg: Config) -> DataFrame:
-    """One row for each distinct n-gram set: its key, documents, one (doc_id, fp) that has it, and labels."""
-    signed = _signed(docs, cfg)
-    one = signed.groupBy("key").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.array_sort(F.collect_set(F.struct("doc_id", "fp"))).alias("members"), F.first("grams").alias("grams"), F.first("labels").alias("labels"), F.count("*").alias("rows"))
-    return written(one.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.fp").alias("fp"), "members", "grams", "labels", "rows"), "nodes")
+def nodes(found: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row for each distinct set: its key, one (doc_id, fp) that has it, its documents' number and its paths."""
+    one = found.where("key is not null").groupBy("key").agg(F.min(F.struct("doc_id", "fp")).alias("first"), F.count("*").alias("docs"), F.max("grams").alias("grams"), F.first("paths", ignorenulls=True).alias("paths"))
+    return scratch.written(one.select("key", F.col("first.doc_id").alias("doc_id"), F.col("first.fp").alias("fp"), "docs", "grams", "paths"), "nodes")
 
 
-def candidate_groups(found: DataFrame) -> DataFrame:
-    """(key, component): nodes that share a label with another, linked transitively."""
-    rows = found.select("key", F.posexplode("labels").alias("tree", "label"))
-    w = Window.partitionBy("tree", "label")
-    stars = rows.select("key", F.min("key").over(w).alias("hub")).where("key <> hub")
-    return components(stars.distinct(), "key", "hub").withColumnRenamed("node", "key")
+def groups(sets: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
+    """(key, component): nodes that share a shortest prefix with another, linked transitively."""
+    low = floors(cfg)
 
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _parts(batches, 2048):
+            paths = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, cfg.trees)
+            label = np.concatenate([prefixes(p, low) for p in paths]) if len(paths) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(paths)), cfg.trees))), pa.array(label)], names=["key", "label"])
 
-def verified(docs: DataFrame, found: DataFrame, cfg: Config, spanning: bool = False) -> DataFrame:
-    """Candidate pairs with jaccard at the threshold or over: (key_a, key_b, jaccard), by nodes.
+    rows = sets.select("key", "paths").mapInArrow(explode, "key binary, label bigint")
+    # combined before the shuffle, so that a prefix of very many nodes is no large group anywhere
+    shared = rows.groupBy("label").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("label", "hub")
+    stars = rows.join(shared, "label").where("key <> hub").select("key", "hub").distinct()
+    return components(stars, "key", "hub", scratch).withColumnRenamed("node", "key")
 
-    With ``spanning`` only as many of them as link the same nodes.
-    """
-    groups = written(found.select("key", "doc_id", "fp", "grams").join(candidate_groups(found), "key"), "groups")
-    load = groups.groupBy("component").agg(F.sum("grams").alias("load"))
+
+FOUND = "key_a binary, key_b binary, links bigint"
+
+
+def verified(docs: DataFrame, sets: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
+    """Rows of two kinds: (key_a, key_b) that hold linked nodes together, and (key_a, null, its links from one task)."""
+    placed = scratch.written(sets.select("key", "doc_id", "fp", "docs", "grams").join(groups(sets, cfg, scratch), "key"), "groups")
+    load = placed.groupBy("component").agg(F.sum("grams").alias("load"))
     slices = F.greatest(F.lit(1), F.ceil(F.col("load") / cfg.slice_grams)).cast("int")
-    placed = groups.join(load.select("component", slices.alias("slices")), "component")
+    placed = placed.join(load.select("component", slices.alias("slices")), "component")
     placed = placed.withColumn("slice", F.pmod(F.xxhash64("key"), "slices").cast("int"))
     wanted = broadcast_if_small(placed.drop("grams"), 32 << 20)
-    read = docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
-    held = wanted.join(read, ["doc_id", "fp"]).select("component", "slices", "slice", "key", "text")
+    held = wanted.join(_read(docs), ["doc_id", "fp"]).select("component", "slices", "slice", "key", "docs", "text")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Shingler(cfg)
-        for batch in _parts(batches):
-            sets = s.sets(texts(batch, "text"))
-            labels = [s.labels(g) for g in sets]  # again, as they are larger than what would have to move with them
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array([x.tobytes() for x in labels], pa.binary()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["component", "slices", "slice", "key", "labels", "set"])
-        del s
-        tidy()
-
-    sets = held.mapInArrow(shingle, "component binary, slices int, slice int, key binary, labels binary, set binary")
+        try:
+            for batch in _parts(batches):
+                found = s.sets(texts(batch, "text"))
+                paths = [s.paths(g) for g in found]  # again, as they are larger than what would have to move with them
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array([x.tobytes() for x in paths], pa.binary()), pa.array([g.tobytes() for g in found], pa.binary())], names=["component", "slices", "slice", "key", "docs", "paths", "set"])
+        finally:
+            del s
+            tidy()
+
+    shingled = held.mapInArrow(shingle, "component binary, slices int, slice int, key binary, docs bigint, paths binary, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
-    cells = sets.withColumn("other", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other")).drop("slices", "other")
+    cells = shingled.withColumn("other", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other")).drop("slices", "other")
 
     def verify(t: pa.Table) -> pa.Table:
         low, high = t["low"][0].as_py(), t["high"][0].as_py()
@@ -199,113 +250,158 @@ def verified(docs: DataFrame, found: DataFrame, cfg: Config, spanning: bool = Fa
             first.setdefault(k, i)
         keys = sorted(first)
         at = [first[k] for k in keys]
-        side = t["slice"].to_numpy()[at]
-        labels = np.stack([np.frombuffer(t["labels"][i].as_py(), np.int64) for i in at])
-        sets = [np.frombuffer(t["set"][i].as_py(), np.uint64) for i in at]
-        a, b, j = _pairs(sets, labels, side if low != high else None, cfg)
-        if spanning and len(a):
-            a, b, j = _forest(a, b, j, len(keys))
-        return pa.table({"key_a": pa.array([keys[x] for x in a], pa.binary()), "key_b": pa.array([keys[x] for x in b], pa.binary()), "jaccard": pa.array(j, pa.float64())})
-
-    return cells.groupBy("component", "low", "high").applyInArrow(verify, "key_a binary, key_b binary, jaccard double")
-
-
-def _pairs(sets: list[np.ndarray], labels: np.ndarray, side: np.ndarray | None, cfg: Config, block: int = 512, wide: int = 1 << 15):
-    """Indices a < b of candidates with jaccard >= threshold, and it; ``side``: only across its two values."""
-    m = len(sets)
-    size = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
-    vocab, col, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1  # n-grams of one document can't meet
-    dense = np.cumsum(shared) - 1
-    keep = shared[col]
-    col, owner = dense[col[keep]], owner[keep]
-    start = np.searchsorted(owner, np.arange(m + 1))
-    width = int(shared.sum())
-    out_a, out_b, out_j = [], [], []
-
-    def matrix(i: int, k: int, c0: int, c1: int) -> np.ndarray:
+        paths = np.stack([np.frombuffer(t["paths"][i].as_py(), np.uint64) for i in at])
+        group = Group([np.frombuffer(t["set"][i].as_py(), np.uint64) for i in at], paths, t["docs"].to_numpy()[at], t["slice"].to_numpy()[at] if low != high else None, cfg).run()
+        some = np.flatnonzero(group.links).tolist()
+        first_key = [keys[x] for x, _ in group.bonds] + [keys[x] for x in some]
+        second = [keys[y] for _, y in group.bonds] + [None] * len(some)
+        return pa.table({"key_a": pa.array(first_key, pa.binary()), "key_b": pa.array(second, pa.binary()), "links": pa.array([0] * len(group.bonds) + group.links[some].tolist(), pa.int64())})
+
+    return scratch.written(cells.groupBy("component", "low", "high").applyInArrow(verify, FOUND), "found")
+
+
+class Group:
+    """The nodes of one task: matched prefixes shortened until every node has the target recall.
+
+    ``side``: pairs count only across its two values. ``links[x]`` is the number of documents
+    of x's partners; ``bonds`` are as few pairs as hold all linked nodes together; ``pairs``,
+    where asked for, are all that were verified.
+    """
+
+    def __init__(self, sets: list[np.ndarray], paths: np.ndarray, docs: np.ndarray, side: np.ndarray | None, cfg: Config, pairs: bool = False, block: int = 512, wide: int = 1 << 15):
+        self.cfg, self.side, self.docs, self.block, self.wide, self.paths = cfg, side, docs, block, wide, paths
+        m = self.m = len(sets)
+        self.size = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(m), self.size)
+        _, col, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times > 1  # n-grams of one document can't meet
+        keep = shared[col]
+        self.col, self.owner = (np.cumsum(shared) - 1)[col[keep]], owner[keep]
+        self.start = np.searchsorted(self.owner, np.arange(m + 1))
+        self.width = int(shared.sum())
+        self.links = np.zeros(m, np.int64)
+        self.partners = np.zeros((m, BINS), np.int64)  # by similarity
+        self.label = np.arange(m)
+        self.bonds: list[tuple[int, int]] = []
+        self.pairs: list[tuple[int, int, float]] | None = [] if pairs else None
+        self.levels: dict | None = {} if m * m <= 1 << 25 else None  # kept from step to step where they are small
+
+    def _matrix(self, i: int, k: int, c0: int, c1: int) -> np.ndarray:
         x = np.zeros((k - i, c1 - c0), "f4")
-        c, o = col[start[i] : start[k]], owner[start[i] : start[k]]
+        c, o = self.col[self.start[i] : self.start[k]], self.owner[self.start[i] : self.start[k]]
         sel = (c >= c0) & (c < c1)
         x[o[sel] - i, c[sel] - c0] = 1
         return x
 
-    for i in range(0, m, block):
-        i1 = min(m, i + block)
-        for k in range(i, m, block):
-            k1 = min(m, k + block)
-            cand = np.zeros((i1 - i, k1 - k), bool)
-            for tree in range(labels.shape[1]):
-                cand |= labels[i:i1, tree, None] == labels[None, k:k1, tree]
-            if i == k:
-                cand &= np.arange(i, i1)[:, None] < np.arange(k, k1)
-            if side is not None:
-                cand &= side[i:i1, None] != side[None, k:k1]
-            if not cand.any():
-                continue
-            inter = np.zeros(cand.shape, "f4")  # exact: counts stay far below 2**24
-            for c in range(0, width, wide):
-                inter += matrix(i, i1, c, min(width, c + wide)) @ matrix(k, k1, c, min(width, c + wide)).T
-            jac = inter.astype("f8") / (size[i:i1, None] + size[None, k:k1] - inter)
-            r, s = np.nonzero(cand & (jac >= cfg.threshold))
-            out_a.append(r + i)
-            out_b.append(s + k)
-            out_j.append(jac[r, s])
-    if not out_a:
-        return np.zeros(0, int), np.zeros(0, int), np.zeros(0)
-    return np.concatenate(out_a), np.concatenate(out_b), np.concatenate(out_j)
-
-
-def _forest(a: np.ndarray, b: np.ndarray, j: np.ndarray, n: int):
-    parent = list(range(n))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    def _step_of(self, i: int, i1: int, k: int, k1: int, last: int) -> np.ndarray:
+        """The step at which each pair of the block is met first; ``last`` if at none."""
+        if self.levels is not None and (i, k) in self.levels:
+            return self.levels[i, k]
+        out = np.full((i1 - i, k1 - k), last, np.uint8)
+        low = floors(self.cfg)
+        for floor in np.unique(low):
+            trees = np.flatnonzero(low == floor)
+            if out.size * len(trees) <= 1 << 18:
+                least = (self.paths[i:i1, None, trees] ^ self.paths[None, k:k1, trees]).min(2)
+            else:
+                least = np.full(out.shape, np.uint64(0xFFFFFFFFFFFFFFFF))
+                for t in trees:
+                    np.minimum(least, self.paths[i:i1, t, None] ^ self.paths[None, k:k1, t], out=least)
+            for at in range(self.cfg.max_depth - int(floor) + 1):  # at which max_depth - at levels are left
+                sharing = least >> np.uint64(64 - 8 * (self.cfg.max_depth - at)) == 0 if at < self.cfg.max_depth else np.ones(out.shape, bool)
+                np.minimum(out, at, out=out, where=sharing)
+        if i == k:
+            out[np.arange(i, i1)[:, None] >= np.arange(k, k1)] = last
+        if self.side is not None:
+            out[self.side[i:i1, None] == self.side[None, k:k1]] = last
+        if self.levels is not None:
+            self.levels[i, k] = out
+        return out
 
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        if (p := root(x)) != (q := root(y)):
-            parent[q] = p
-            keep.append(i)
-    return a[keep], b[keep], j[keep]
+    def run(self) -> Group:
+        m, block, plan = self.m, self.block, steps(self.cfg)
+        going = np.ones(m, bool)
+        for at, (_, counts, missing) in enumerate(plan):
+            for i in range(0, m, block):
+                i1 = min(m, i + block)
+                for k in range(i, m, block):
+                    k1 = min(m, k + block)
+                    if not (going[i:i1].any() or going[k:k1].any()):
+                        continue
+                    cand = self._step_of(i, i1, k, k1, len(plan)) == at
+                    cand &= going[i:i1, None] | going[None, k:k1]
+                    if cand.any():
+                        self._compare(i, i1, k, k1, cand)
+            going = self.partners.sum(1) < self.cfg.recall * (self.partners @ counts + missing)
+            if not going.any():
+                break
+        return self
+
+    def _compare(self, i: int, i1: int, k: int, k1: int, cand: np.ndarray) -> None:
+        inter = np.zeros(cand.shape, "f4")  # exact: counts stay far below 2**24
+        for c in range(0, self.width, self.wide):
+            c1 = min(self.width, c + self.wide)
+            inter += self._matrix(i, i1, c, c1) @ self._matrix(k, k1, c, c1).T
+        jac = inter.astype("f8") / (self.size[i:i1, None] + self.size[None, k:k1] - inter)
+        hit = cand & (jac >= self.cfg.threshold)
+        self.links[i:i1] += hit @ self.docs[k:k1]
+        self.links[k:k1] += self.docs[i:i1] @ hit
+        r, s = np.nonzero(hit)
+        j = jac[r, s]
+        bin_ = np.minimum(((j - self.cfg.threshold) / (1 - self.cfg.threshold) * BINS).astype(int), BINS - 1)
+        self.partners[i:i1] += np.bincount(r * BINS + bin_, minlength=(i1 - i) * BINS).reshape(-1, BINS)
+        self.partners[k:k1] += np.bincount(s * BINS + bin_, minlength=(k1 - k) * BINS).reshape(-1, BINS)
+        r, s = r + i, s + k
+        if self.pairs is not None:
+            self.pairs += zip(r.tolist(), s.tolist(), j.tolist())
+        while len(r):
+            x, y = self.label[r], self.label[s]
+            apart = x != y
+            r, s, x, y = r[apart], s[apart], x[apart], y[apart]
+            high, one = np.unique(np.maximum(x, y), return_index=True)
+            self.bonds += zip(r[one].tolist(), s[one].tolist())
+            to = np.arange(self.m)
+            to[high] = np.minimum(x, y)[one]
+            while (to != (nxt := to[to])).any():
+                to = nxt
+            self.label = to[self.label]
+
+
+def classes(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """(doc_id, fp, rows, class_doc, class_fp, class_size, links) of every document with an id."""
+    have, scratch = members(docs, cfg), Scratch(docs.sparkSession)
+    sets = nodes(have, scratch)
+    found = verified(docs, sets, cfg, scratch)
+    bond = components(found.where("key_b is not null"), "key_a", "key_b", scratch).withColumnRenamed("node", "key")
+    links = found.where("key_b is null").groupBy(F.col("key_a").alias("key")).agg(F.sum("links").alias("links"))
+    # by node, not by document: a class's smallest document is the smallest of its nodes' first ones
+    node = sets.select("key", "doc_id", "fp", "docs").join(bond, "key", "left").join(links, "key", "left")
+    node = node.select("key", F.coalesce("component", "key").alias("class"), "doc_id", "fp", "docs", (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("links"))
+    node = written(node, "classes")
+    scratch.clear()
+    head = node.groupBy("class").agg(F.min(F.struct("doc_id", "fp")).alias("head"), F.sum("docs").alias("class_size"))
+    node = node.select("key", "class", "links").join(head, "class").select("key", "head", "class_size", "links")
+    full = have.select("key", "doc_id", "fp", "rows").join(node, "key", "left")
+    return full.select("doc_id", "fp", "rows", F.coalesce("head.doc_id", "doc_id").alias("class_doc"), F.coalesce("head.fp", "fp").alias("class_fp"), F.coalesce("class_size", F.lit(1)).alias("class_size"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 def join(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """All pairs of near or exact copies; see the module's text for the rows."""
-    found = nodes(docs, cfg)
-    ids = F.array_sort(F.array_distinct(F.transform("members", lambda m: m["doc_id"])))
-    listed = found.select("key", "doc_id", ids.alias("copies"))
-    pairs = verified(docs, found, cfg)
-    a, b = (listed.select(F.col("key").alias(f"key_{x}"), F.col("doc_id").alias(f"d_{x}"), F.col("copies").alias(f"c_{x}")) for x in "ab")
-    near = pairs.join(a, "key_a").join(b, "key_b").where("d_a <> d_b")
-    swap = F.col("d_a") > F.col("d_b")
-    pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    near = near.select(pick("d_a", "d_b").alias("doc_a"), pick("d_b", "d_a").alias("doc_b"), "jaccard", pick("c_a", "c_b").alias("copies_a"), pick("c_b", "c_a").alias("copies_b"))
-    same = listed.where(F.size("copies") > 1).select(F.col("copies")[0].alias("doc_a"), F.col("copies")[1].alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("copies").alias("copies_a"), F.col("copies").alias("copies_b"))
-    return near.unionByName(same)
+    """One row for each document; see the module's text."""
+    return classes(docs, cfg).select("doc_id", F.col("class_doc").alias("class_id"), "class_size", "links")
 
 
 def dedup(docs: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """``docs`` with one document of each group of near or exact copies: that of the smallest id."""
-    found = nodes(docs, cfg)
-    links = components(verified(docs, found, cfg, spanning=True), "key_a", "key_b")
-    group = found.join(links.withColumnRenamed("node", "key"), "key", "left")
-    group = group.select(F.coalesce("component", "key").alias("group"), F.explode("members").alias("m"), "rows", F.size("members").alias("n"))
-    low = F.min("m").over(Window.partitionBy("group"))
-    judged = group.where((F.col("rows") > 1) | F.col("group").isNotNull()).select("m", (F.col("m") > low).alias("drop"), ((F.col("rows") > F.col("n")) & (F.col("m") == low)).alias("again"))
-    judged = written(judged.where("drop or again").select(F.col("m.doc_id").alias("_wl_id"), F.col("m.fp").alias("_wl_fp"), "drop"), "dropped")
-    keyed = docs.withColumn("_wl_k", F.col("doc_id").cast("bigint")).withColumn("_wl_h", F.xxhash64("text"))
-    on = (F.col("_wl_k") == F.col("_wl_id")) & (F.col("_wl_h") == F.col("_wl_fp"))
-    marked = keyed.join(broadcast_if_small(judged, 32 << 20), on, "left")
-    once = marked.where("drop is null").select(*docs.columns)
-    again = marked.where("not drop").dropDuplicates(["_wl_k", "_wl_h"]).select(*docs.columns)
+    """``docs`` with one document of each class: that of the smallest id."""
+    first = (F.col("doc_id") == F.col("class_doc")) & (F.col("fp") == F.col("class_fp"))
+    judged = classes(docs, cfg).withColumn("_wl_first", first).where("not _wl_first or rows > 1")
+    judged = written(judged.select(F.col("doc_id").alias("_wl_id"), F.col("fp").alias("_wl_fp"), "_wl_first"), "dropped")
+    keyed = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("bigint").alias("id"), F.xxhash64("text").alias("hash"))  # no name can clash
+    marked = keyed.join(broadcast_if_small(judged, 32 << 20), (F.col("id") == F.col("_wl_id")) & (F.col("hash") == F.col("_wl_fp")), "left")
+    once = marked.where("_wl_first is null").select("row.*")
+    again = marked.where("_wl_first").dropDuplicates(["id", "hash"]).select("row.*")
     return once.unionByName(again)
 
 
 def op6_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All near and exact copies among the documents."""
+    """Every document with its class of near and exact copies and its number of links."""
     return join(table(spark, sf_dir, "documents").select("doc_id", "text"))
