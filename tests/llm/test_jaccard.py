@@ -3,6 +3,8 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import jaccard as j
@@ -133,6 +135,17 @@ def test_floors_give_the_recall_and_no_more():
     assert j.met(cfg.threshold, one) < cfg.recall
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text()), max_size=5))
+def test_words_are_those_of_the_expression(docs):
+    s = j.Shingler(j.Config(), chars=8)
+    words = [j.WORD.findall(t.lower()) if t else [] for t in docs]
+    got = s.words(docs)
+    assert [len(w) for w in words] == [len(h) for h in got]
+    pairs = {(w, int(h)) for ws, hs in zip(words, got) for w, h in zip(ws, hs)}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({h for _, h in pairs})
+
+
 def forest(sets, cfg):
     """The same forest with sorted tries of dictionaries, one node and one pair at a time."""
     s = j.Shingler(cfg)

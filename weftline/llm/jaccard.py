@@ -37,15 +37,13 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import Scratch, broadcast_if_small, table, texts, tidy, utf8, written
+from weftline.llm.common import Scratch, broadcast_if_small, table, texts, tidy, written
 from weftline.llm.graph import components
 
 WORD = re.compile(r"[^\W_]+")
@@ -60,7 +58,7 @@ class Config:
     n: int = 3
     #: A changed word costs n n-grams: copies with a tenth of their words changed are at 0.5 to 0.6.
     threshold: float = 0.5
-    trees: int = 64
+    trees: int = 96
     #: Minhashes of a whole path, a byte each.
     max_depth: int = 8
     recall: float = 0.95
@@ -94,26 +92,56 @@ def steps(cfg: Config) -> list[tuple[np.ndarray, np.ndarray, float]]:
     return [(d, 1 / met(edge, d), float(1 - met(cfg.threshold, d))) for d in plan]
 
 
+@cache
+def _letters() -> np.ndarray:
+    """Whether each character is a letter or digit, as in WORD."""
+    return np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 class Shingler:
-    """Sorted n-gram hashes of texts, and their paths; keeps the hashes of words it has seen."""
+    """Sorted n-gram hashes of texts, and their paths."""
 
-    def __init__(self, cfg: Config, keep: int = 500_000):
-        self.cfg, self.keep, self.seen = cfg, keep, {}
+    def __init__(self, cfg: Config, chars: int = 1_000_000):
+        self.cfg, self.chars = cfg, chars
         rng = np.random.default_rng(cfg.seed)
         self.mul = (rng.integers(1, 1 << 63, cfg.n, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+        self.power = np.cumprod(np.full(64, np.uint64(0x9E3779B97F4A7C15)))
         k = cfg.trees * cfg.max_depth
         self.a = (rng.integers(1, 1 << 31, k, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
         self.b = rng.integers(0, 1 << 32, k, dtype=np.uint32)
 
     def words(self, docs: list[str | None]) -> list[np.ndarray]:
-        split = [WORD.findall(t.lower()) if t else [] for t in docs]
-        if len(self.seen) > self.keep:
-            self.seen = {}
-        seen = self.seen
-        for w in {w for t in split for w in t if w not in seen}:
-            seen[w] = xxhash.xxh64_intdigest(utf8(w))
-        flat = np.array(list(map(seen.__getitem__, chain.from_iterable(split))), np.uint64)
-        return np.split(flat, np.cumsum([len(t) for t in split])[:-1])
+        """The hashes of each text's words, in order; texts are taken together up to so many characters."""
+        out, part, n = [], [], 0
+        for t in docs:
+            part.append(t.lower() if t else "")
+            n += len(part[-1]) + 1
+            if n >= self.chars:
+                out += self._words(part)
+                part, n = [], 0
+        return out + self._words(part) if part else out
+
+    def _words(self, low: list[str]) -> list[np.ndarray]:
+        c = np.frombuffer("\n".join([*low, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        mine = np.flatnonzero(_letters()[c])
+        if not len(mine):
+            return [np.zeros(0, np.uint64)] * len(low)
+        first = np.flatnonzero(np.diff(mine, prepend=-2) != 1)  # of each word, among the letters
+        at = np.arange(len(mine)) - np.repeat(first, np.diff(np.append(first, len(mine))))
+        if (longest := int(at.max()) + 1) > len(self.power):
+            self.power = np.cumprod(np.full(2 * longest, self.power[0]))
+        h = _mixed(c[mine].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        h *= self.power[at]
+        h = _mixed(np.add.reduceat(h, first))
+        ends = np.cumsum([len(t) + 1 for t in low])
+        return np.split(h, np.searchsorted(mine[first], ends[:-1]))
 
     def sets(self, docs: list[str | None]) -> list[np.ndarray]:
         n, out = self.cfg.n, []
@@ -125,9 +153,7 @@ class Shingler:
             h = np.full(len(w) - m + 1, m, np.uint64)
             for i in range(m):
                 h += w[i : len(w) - m + 1 + i] * self.mul[i]
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(32)
+                h = _mixed(h)
             out.append(np.unique(h))
         return out
 
@@ -268,8 +294,8 @@ class Group:
     where asked for, are all that were verified.
     """
 
-    def __init__(self, sets: list[np.ndarray], paths: np.ndarray, docs: np.ndarray, side: np.ndarray | None, cfg: Config, pairs: bool = False, block: int = 512, wide: int = 1 << 15):
-        self.cfg, self.side, self.docs, self.block, self.wide, self.paths = cfg, side, docs, block, wide, paths
+    def __init__(self, sets: list[np.ndarray], paths: np.ndarray, docs: np.ndarray, side: np.ndarray | None, cfg: Config, pairs: bool = False, block: int = 512, hold: int = 20_000_000):
+        self.cfg, self.side, self.docs, self.block, self.paths = cfg, side, docs, block, paths
         m = self.m = len(sets)
         self.size = np.array([len(s) for s in sets])
         flat, owner = np.concatenate(sets), np.repeat(np.arange(m), self.size)
@@ -279,44 +305,43 @@ class Group:
         self.col, self.owner = (np.cumsum(shared) - 1)[col[keep]], owner[keep]
         self.start = np.searchsorted(self.owner, np.arange(m + 1))
         self.width = int(shared.sum())
+        self.labels = np.ascontiguousarray((paths >> (64 - 8 * floors(cfg)).astype(np.uint64)).astype(np.uint32).T)  # of the floors, cut to 32 bits: a first sieve
         self.links = np.zeros(m, np.int64)
         self.partners = np.zeros((m, BINS), np.int64)  # by similarity
         self.label = np.arange(m)
         self.bonds: list[tuple[int, int]] = []
         self.pairs: list[tuple[int, int, float]] | None = [] if pairs else None
-        self.levels: dict | None = {} if m * m <= 1 << 25 else None  # kept from step to step where they are small
-
-    def _matrix(self, i: int, k: int, c0: int, c1: int) -> np.ndarray:
-        x = np.zeros((k - i, c1 - c0), "f4")
-        c, o = self.col[self.start[i] : self.start[k]], self.owner[self.start[i] : self.start[k]]
-        sel = (c >= c0) & (c < c1)
-        x[o[sel] - i, c[sel] - c0] = 1
-        return x
-
-    def _step_of(self, i: int, i1: int, k: int, k1: int, last: int) -> np.ndarray:
-        """The step at which each pair of the block is met first; ``last`` if at none."""
-        if self.levels is not None and (i, k) in self.levels:
-            return self.levels[i, k]
-        out = np.full((i1 - i, k1 - k), last, np.uint8)
+        self.held: dict = {}  # candidates of blocks, as long as there is room for them; else they are found again
+        self.room = hold
+
+    def _candidates(self, i: int, i1: int, k: int, k1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of a block that share a floor, and the step at which each is met first."""
+        if (i, k) in self.held:
+            return self.held[i, k]
+        near = np.zeros((i1 - i, k1 - k), bool)
+        for lab in self.labels:
+            near |= lab[i:i1, None] == lab[None, k:k1]
+        if i == k:
+            near &= np.arange(i, i1)[:, None] < np.arange(k, k1)
+        if self.side is not None:
+            near &= self.side[i:i1, None] != self.side[None, k:k1]
+        r, s = (x.astype(np.int32) for x in np.nonzero(near))
+        r, s, top = r + i, s + k, self.cfg.max_depth
+        at = np.full(len(r), 255, np.uint8)
         low = floors(self.cfg)
         for floor in np.unique(low):
             trees = np.flatnonzero(low == floor)
-            if out.size * len(trees) <= 1 << 18:
-                least = (self.paths[i:i1, None, trees] ^ self.paths[None, k:k1, trees]).min(2)
-            else:
-                least = np.full(out.shape, np.uint64(0xFFFFFFFFFFFFFFFF))
-                for t in trees:
-                    np.minimum(least, self.paths[i:i1, t, None] ^ self.paths[None, k:k1, t], out=least)
-            for at in range(self.cfg.max_depth - int(floor) + 1):  # at which max_depth - at levels are left
-                sharing = least >> np.uint64(64 - 8 * (self.cfg.max_depth - at)) == 0 if at < self.cfg.max_depth else np.ones(out.shape, bool)
-                np.minimum(out, at, out=out, where=sharing)
-        if i == k:
-            out[np.arange(i, i1)[:, None] >= np.arange(k, k1)] = last
-        if self.side is not None:
-            out[self.side[i:i1, None] == self.side[None, k:k1]] = last
-        if self.levels is not None:
-            self.levels[i, k] = out
-        return out
+            for c in range(0, len(r), 1 << 14):
+                part = slice(c, c + (1 << 14))
+                least = (self.paths[r[part]][:, trees] ^ self.paths[s[part]][:, trees]).min(1)
+                for step in range(top - int(floor), -1, -1):
+                    np.minimum(at[part], step, out=at[part], where=least >> np.uint64(64 - 8 * (top - step)) == 0)
+        some = at < 255
+        got = r[some], s[some], at[some]
+        if len(got[0]) <= self.room:
+            self.room -= len(got[0])
+            self.held[i, k] = got
+        return got
 
     def run(self) -> Group:
         m, block, plan = self.m, self.block, steps(self.cfg)
@@ -328,30 +353,60 @@ class Group:
                     k1 = min(m, k + block)
                     if not (going[i:i1].any() or going[k:k1].any()):
                         continue
-                    cand = self._step_of(i, i1, k, k1, len(plan)) == at
-                    cand &= going[i:i1, None] | going[None, k:k1]
-                    if cand.any():
-                        self._compare(i, i1, k, k1, cand)
+                    r, s, first = self._candidates(i, i1, k, k1)
+                    now = (first == at) & (going[r] | going[s])
+                    if now.any():
+                        self._compare(i, i1, k, k1, r[now], s[now])
             going = self.partners.sum(1) < self.cfg.recall * (self.partners @ counts + missing)
             if not going.any():
                 break
         return self
 
-    def _compare(self, i: int, i1: int, k: int, k1: int, cand: np.ndarray) -> None:
-        inter = np.zeros(cand.shape, "f4")  # exact: counts stay far below 2**24
-        for c in range(0, self.width, self.wide):
-            c1 = min(self.width, c + self.wide)
-            inter += self._matrix(i, i1, c, c1) @ self._matrix(k, k1, c, c1).T
-        jac = inter.astype("f8") / (self.size[i:i1, None] + self.size[None, k:k1] - inter)
-        hit = cand & (jac >= self.cfg.threshold)
-        self.links[i:i1] += hit @ self.docs[k:k1]
-        self.links[k:k1] += self.docs[i:i1] @ hit
-        r, s = np.nonzero(hit)
-        j = jac[r, s]
-        bin_ = np.minimum(((j - self.cfg.threshold) / (1 - self.cfg.threshold) * BINS).astype(int), BINS - 1)
-        self.partners[i:i1] += np.bincount(r * BINS + bin_, minlength=(i1 - i) * BINS).reshape(-1, BINS)
-        self.partners[k:k1] += np.bincount(s * BINS + bin_, minlength=(k1 - k) * BINS).reshape(-1, BINS)
-        r, s = r + i, s + k
+    def _common(self, i: int, i1: int, k: int, k1: int, r: np.ndarray, s: np.ndarray) -> np.ndarray:
+        """How many n-grams each pair has in common, exactly."""
+        col, start = self.col, self.start
+        if 20 * len(r) < (i1 - i) * (k1 - k):  # few pairs: of each left node with all its right ones
+            mark, out = np.zeros(self.width, np.int32), np.zeros(len(r), np.int64)
+            edge = np.flatnonzero(np.diff(r, prepend=-1)).tolist()
+            for e, e1 in zip(edge, [*edge[1:], len(r)]):
+                mine = col[start[r[e]] : start[r[e] + 1]]
+                mark[mine] = 1
+                js = s[e:e1]
+                n = start[js + 1] - start[js]
+                ends = np.cumsum(n)
+                seen = np.concatenate([[0], np.cumsum(mark[col[np.repeat(start[js] - (ends - n), n) + np.arange(ends[-1])]])])
+                out[e:e1] = seen[ends] - seen[ends - n]
+                mark[mine] = 0
+            return out
+        both = np.zeros((2, self.width), bool)
+        both[0, col[start[i] : start[i1]]] = both[1, col[start[k] : start[k1]]] = True
+        place = np.cumsum(both[0] & both[1]) - 1
+        both, wide = both[0] & both[1], int(place[-1]) + 1 if self.width else 0
+        inter = np.zeros((i1 - i, k1 - k), "f4")  # exact: counts stay far below 2**24
+
+        def matrix(a: int, b: int, c0: int, c1: int) -> np.ndarray:
+            x = np.zeros((b - a, c1 - c0), "f4")
+            c, o = col[start[a] : start[b]], self.owner[start[a] : start[b]]
+            keep = both[c]
+            c, o = place[c[keep]], o[keep]
+            keep = (c >= c0) & (c < c1)
+            x[o[keep] - a, c[keep] - c0] = 1
+            return x
+
+        for c in range(0, wide, 1 << 14):
+            c1 = min(wide, c + (1 << 14))
+            inter += matrix(i, i1, c, c1) @ matrix(k, k1, c, c1).T
+        return inter[r - i, s - k].astype(np.int64)
+
+    def _compare(self, i: int, i1: int, k: int, k1: int, r: np.ndarray, s: np.ndarray) -> None:
+        common = self._common(i, i1, k, k1, r, s)
+        j = common / (self.size[r] + self.size[s] - common)
+        hit = j >= self.cfg.threshold
+        r, s, j = r[hit], s[hit], j[hit]
+        self.links += np.bincount(r, self.docs[s], self.m).astype(np.int64) + np.bincount(s, self.docs[r], self.m).astype(np.int64)
+        where = np.minimum(((j - self.cfg.threshold) / (1 - self.cfg.threshold) * BINS).astype(int), BINS - 1)
+        self.partners[i:i1] += np.bincount((r - i) * BINS + where, minlength=(i1 - i) * BINS).reshape(-1, BINS)
+        self.partners[k:k1] += np.bincount((s - k) * BINS + where, minlength=(k1 - k) * BINS).reshape(-1, BINS)
         if self.pairs is not None:
             self.pairs += zip(r.tolist(), s.tolist(), j.tolist())
         while len(r):
