@@ -46,6 +46,8 @@ class Config:
     #: The age at which recency falls to 1/e.
     recency_tau_s: float = 604800.0
     duplicate_at: float = 0.90
+    #: Items of less similarity are dropped after ranking.
+    keep_similarity: float = 0.0
     max_item_tokens: int = 220
     compress_ratio: float = 0.5
     max_context_tokens: int = 32000
@@ -56,14 +58,26 @@ class Config:
     pinned_at: float = 0.9
     cache_ttl_s: float = 3600.0
     cache_hit_at: float = 0.97
+    cache_max_entries: int = 2048
+    abstractive: bool = False
+    #: Patterns of financial identifiers are redacted as well.
+    redact_financial: bool = False
     redact: bool = True
     fence_aware: bool = False
     system: str = "Answer from the context given below. Say so when the context does not hold the answer."
 
 
+#: What an analyst's assistant is held to: sources, dates and units, and no advice.
+FINANCE_SYSTEM = (
+    "You help with questions about financial documents. Answer from the context alone, give the date, currency and unit of every figure and the filing that it comes from, "
+    "keep reported figures apart from estimates, and say so when the context does not hold the answer. Give no investment advice and no forecast of your own."
+)
+
+
 def finance(**changes) -> Config:
     """The preset for financial texts: fresher, more literal, stricter."""
-    return replace(Config(weights=Weights(0.50, 0.15, 0.15, 0.15, 0.03, 0.01, 0.01), recency_tau_s=90 * 86400.0, abstain_below=-2.0), **changes)
+    base = Config(weights=Weights(0.50, 0.15, 0.15, 0.15, 0.03, 0.01, 0.01), recency_tau_s=90 * 86400.0, abstain_below=-2.0, redact_financial=True, system=FINANCE_SYSTEM)
+    return replace(base, **changes)
 
 
 def source_dim(spark: SparkSession) -> DataFrame:

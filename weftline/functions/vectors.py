@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -11,25 +12,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BUCKETS: dict[tuple[str, int], int] = {}
+from weftline.shared import written
 
-
-def bucket_of(word: str, dim: int) -> int:
-    """The word's MD5 as a number modulo ``dim``."""
-    got = _BUCKETS.get((word, dim))
-    if got is None:
-        if len(_BUCKETS) > 1_000_000:
-            _BUCKETS.clear()
-        got = _BUCKETS[word, dim] = int(hashlib.md5(word.encode("utf-8", "replace")).hexdigest(), 16) % dim
-    return got
+_BUCKETS: dict[int, dict[str, int]] = {}
 
 
 def hash_embed(texts: list[str | None], dim: int) -> np.ndarray:
-    """Counts of words by bucket, scaled to length one; texts without a word are zero."""
-    out = np.zeros((len(texts), dim))
-    for i, t in enumerate(texts):
-        if t:
-            out[i] = np.bincount([bucket_of(w, dim) for w in t.lower().split()] or [0], minlength=dim) * bool(t.split())
+    """Counts of words by bucket (the word's MD5 as a number modulo ``dim``), scaled to length one; texts without a word are zero."""
+    split = [t.lower().split() if t else [] for t in texts]
+    known = _BUCKETS.setdefault(dim, {})
+    if len(known) > 1_000_000:
+        known.clear()
+    for w in set().union(*split).difference(known):
+        known[w] = int(hashlib.md5(w.encode("utf-8", "replace")).hexdigest(), 16) % dim
+    bucket = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in split])
+    out = np.bincount(row * dim + bucket, minlength=len(texts) * dim).reshape(len(texts), dim).astype("f8")
     norm = np.sqrt((out * out).sum(1, keepdims=True))
     return out / np.where(norm == 0, 1, norm)
 
@@ -51,58 +49,119 @@ def embed(df: DataFrame, text: str = "text", out: str = "embedding", dim: int =
 
 #: Bytes of request vectors that one task holds; more are searched in several passes over the items.
 SHARD_BYTES = 64 << 20
-
-
-def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, query_vec: str = "embedding", item_vec: str = "embedding", allowed: Callable | None = None, extra: tuple[str, ...] = (), digits: int = 9) -> DataFrame:
+RULES = ("tenant_id", "principals", "acl", "metadata", "metadata_filter")
+
+
+class Rules:
+    """Which items each request may see, as matrices: tenants, principals, and wanted metadata entries."""
+
+    def __init__(self, requests: dict[str, list]):
+        n = len(next(iter(requests.values()), []))
+        self.tenants = requests.get("tenant_id")
+        groups = [set(x or []) for x in requests.get("principals", [None] * n)]
+        self.principals = {p: i for i, p in enumerate(sorted(set().union(*groups)))}
+        self.member = np.zeros((n, len(self.principals)), "f4")
+        for q, g in enumerate(groups):
+            self.member[q, [self.principals[p] for p in g]] = 1
+        wanted = [list(dict(x or {}).items()) for x in requests.get("metadata_filter", [None] * n)]
+        self.entries = {e: i for i, e in enumerate(dict.fromkeys(e for w in wanted for e in w))}
+        self.wants = np.zeros((n, len(self.entries)), "f4")
+        for q, w in enumerate(wanted):
+            self.wants[q, [self.entries[e] for e in w]] = 1
+
+    def of(self, items: dict[str, list], n: int) -> np.ndarray:
+        """(requests, items), true where the item may be seen."""
+        fit = np.ones((len(self.member), n), bool)
+        if self.tenants is not None and "tenant_id" in items:
+            code = {t: i for i, t in enumerate(dict.fromkeys([*self.tenants, *items["tenant_id"]]))}
+            mine = lambda x: np.array([code[t] if t is not None else -1 for t in x])
+            fit &= (mine(self.tenants)[:, None] == mine(items["tenant_id"])[None]) & (mine(self.tenants) >= 0)[:, None]
+        if "acl" in items:
+            named = np.zeros((n, len(self.principals)), "f4")
+            free = np.zeros(n, bool)
+            for i, acl in enumerate(items["acl"]):
+                free[i] = not acl
+                named[i, [self.principals[p] for p in acl or [] if p in self.principals]] = 1
+            fit &= free[None] | (self.member @ named.T > 0)
+        if self.entries:
+            lacks = np.ones((n, len(self.entries)), "f4")
+            for i, m in enumerate(items.get("metadata", [None] * n)):
+                have = dict(m or {})
+                lacks[i] = [have.get(k) != v for k, v in self.entries]
+            fit &= self.wants @ lacks.T == 0
+        return fit
+
+
+def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str, item_id: str, query_vec: str = "embedding", item_vec: str = "embedding", rules: bool = False, digits: int = 9) -> DataFrame:
     """(query_id, item_id, similarity, rank): the k most similar items of each query, exactly.
 
     Queries are broadcast in shards of ``SHARD_BYTES``; each task multiplies its items with them and keeps its
-    own best k, so what is shuffled is k rows for each query and task, not all pairs. ``allowed(query, item)``
-    gets dictionaries of the ``extra`` columns and must hold for a pair to count. Similarities are rounded to
-    ``digits``; ties go to the smaller id. Null and zero vectors have similarity 0.
+    own best k, so what is shuffled is k rows for each query and task, not all pairs. With more than one shard the
+    items are written once and read for each. With ``rules``, columns named in ``RULES`` decide which items a
+    request may see: the same tenant (never a null one), an access list that is empty, null or names a principal,
+    and every wanted metadata entry (a null one is met by a missing key); only tenants that ask are read.
+    Similarities are rounded to ``digits``; ties go to the smaller id. Null and zero vectors have similarity 0.
     """
     spark = queries.sparkSession
-    q_extra = [c for c in extra if c in queries.columns]
-    i_extra = [c for c in extra if c in items.columns]
+    q_extra = [c for c in RULES if rules and c in queries.columns]
+    i_extra = [c for c in RULES if rules and c in items.columns]
     schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("similarity", T.DoubleType())])
     rows = queries.select(query_id, query_vec, *q_extra).collect()  # requests of one batch
     width = max((len(r[1]) for r in rows if r[1] is not None), default=1)
     step = max(1, SHARD_BYTES // (8 * width))
+    read = items.select(item_id, item_vec, *i_extra)
+    if "tenant_id" in q_extra and "tenant_id" in i_extra:
+        asking = sorted({r["tenant_id"] for r in rows if r["tenant_id"] is not None})
+        read = read.where(F.col("tenant_id").isin(asking)) if len(asking) <= 1000 else read  # a hint for the scan: the rules hold anyway
+    if len(rows) > step:
+        read = written(read, "top-k-items")
     found = None
     for at in range(0, max(1, len(rows)), step):
         part = rows[at : at + step]
         mat = np.array([r[1] if r[1] is not None else [0.0] * width for r in part], "f8").reshape(-1, width)
-        shared = spark.sparkContext.broadcast(([r[0] for r in part], mat, [dict(zip(q_extra, r[2:])) for r in part]))
+        shared = spark.sparkContext.broadcast(([r[0] for r in part], mat, Rules({c: [r[c] for r in part] for c in q_extra}) if q_extra and part else None))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, m, q_rows = shared.value
+            ids, m, seen = shared.value
             best: list[list[tuple]] = [[] for _ in ids]
+            least = np.full(len(ids), -np.inf)  # the kth similarity so far
             for whole in batches:
                 for lo in range(0, whole.num_rows, 2048):
                     b = whole.slice(lo, 2048)
                     keys = b.column(0).to_pylist()
-                    vec = np.array([v if v is not None else [0.0] * width for v in b.column(1).to_pylist()], "f8").reshape(-1, width)
-                    sims = np.round(m @ vec.T, digits) + 0.0
-                    fit = None
-                    if allowed:
-                        i_rows = [dict(zip(i_extra, r)) for r in zip(*(b.column(2 + j).to_pylist() for j in range(len(i_extra))))] if i_extra else [{}] * len(keys)
-                        fit = np.array([[bool(allowed(q, i)) for i in i_rows] for q in q_rows]).reshape(len(ids), -1)
-                    for q in range(len(ids)):
-                        at_ = np.flatnonzero(fit[q]) if fit is not None else np.arange(len(keys))
-                        if len(at_) > k:  # all that tie with the kth stay
-                            edge = np.partition(sims[q][at_], len(at_) - k)[len(at_) - k]
-                            at_ = at_[sims[q][at_] >= edge]
-                        best[q] = sorted(best[q] + [(-sims[q][i], keys[i]) for i in at_])[:k]
+                    sims = np.round(m @ matrix(b.column(1), width).T, digits) + 0.0
+                    ok = sims >= least[:, None]
+                    if seen is not None:
+                        ok &= seen.of({c: b.column(2 + j).to_pylist() for j, c in enumerate(i_extra)}, len(keys))
+                    edge = k if len(keys) > k else 0
+                    if edge:  # of many, all that tie with the kth stay
+                        masked = np.where(ok, sims, -np.inf)
+                        ok &= masked >= np.partition(masked, len(keys) - k, axis=1)[:, len(keys) - k, None]
+                    q_at, i_at = np.nonzero(ok)
+                    start = np.flatnonzero(np.diff(q_at, prepend=-1))
+                    for s, e in zip(start.tolist(), [*start[1:].tolist(), len(q_at)]):
+                        q = q_at[s]
+                        best[q] = sorted(best[q] + list(zip((-sims[q, i_at[s:e]]).tolist(), [keys[i] for i in i_at[s:e]])))[:k]
+                        if len(best[q]) == k:
+                            least[q] = -best[q][-1][0]
             flat = [(ids[q], i, -s) for q, hits in enumerate(best) for s, i in hits]
             cols = list(zip(*flat)) if flat else [[], [], []]
             kinds = [arrow_type(f.dataType) for f in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=schema.names)
 
-        one = items.select(item_id, item_vec, *i_extra).mapInArrow(run, schema)
+        one = read.mapInArrow(run, schema)
         found = one if found is None else found.unionAll(one)
     w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), item_id)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """Rows of an array column as a matrix; null ones are zero."""
+    flat = column.flatten()
+    if column.null_count == 0 and flat.null_count == 0 and len(flat) == len(column) * width:
+        return flat.to_numpy(zero_copy_only=False).astype("f8").reshape(-1, width)
+    return np.array([v if v is not None else [0.0] * width for v in column.to_pylist()], "f8").reshape(-1, width)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[kind.simpleString()]

@@ -13,23 +13,39 @@ from weftline.functions import text
 from weftline.operators.retrieve import hinted
 
 
-def index(items: DataFrame, cells: int | None = None, vec: str = "embedding", seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(items with ``cell``, centroids (cell, centroid)); by default as many cells as the root of the items."""
-    n = cells or max(1, math.isqrt(items.count()))
+def index(items: DataFrame, cells: int | None = None, vec: str = "embedding", seed: int = 1, sample: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(items with ``cell``, centroids (cell, centroid)); by default as many cells as the root of the items.
+
+    Centroids are fitted on about ``sample`` items at most; every item is placed in the cell of its nearest centroid.
+    """
+    total = items.count()
+    n = cells or max(1, math.isqrt(total))
+    n = min(n, items.select(vec).where(F.col(vec).isNotNull()).distinct().limit(n).count())
+    kind = "cell int, centroid array<double>"
+    if n < 2:  # the fit knows no single cell
+        first = items.select(vec).where(F.col(vec).isNotNull()).first()
+        return items.withColumn("cell", F.lit(0)), items.sparkSession.createDataFrame([(0, [float(x) for x in first[0]])] if first else [], kind)
     ready = items.withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
-    model = KMeans(k=n, featuresCol="_v", predictionCol="cell", seed=seed, maxIter=10).fit(ready)
-    centers = items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centroid array<double>")
+    few = ready if total <= sample else ready.sample(sample / total, seed=seed)
+    model = KMeans(k=n, featuresCol="_v", predictionCol="cell", seed=seed, maxIter=10).fit(few)
+    centers = items.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], kind)
     return model.transform(ready).drop("_v"), centers
 
 
+def near(queries: DataFrame, centers: DataFrame, probes: int, query_id: str, vec: str = "embedding") -> DataFrame:
+    """(query_id, _q, cell): the ``probes`` cells nearest to each query."""
+    w = Window.partitionBy(query_id)
+    all_ = queries.select(query_id, F.col(vec).alias("_q")).crossJoin(hinted(centers))  # a row a centroid, as many as the fit was asked for
+    ranked = all_.withColumn("_n", F.row_number().over(w.orderBy(F.desc(text.dot(F.col("_q"), F.col("centroid"))), "cell")))
+    return ranked.where(F.col("_n") <= probes).select(query_id, "_q", "cell")
+
+
 def search(queries: DataFrame, placed: DataFrame, centers: DataFrame, k: int, probes: int, query_id: str, item_id: str, vec: str = "embedding") -> DataFrame:
     """(query_id, item_id, similarity, rank) from the ``probes`` cells nearest to each query: one equi-join on the cell."""
-    w = Window.partitionBy(query_id)
-    near = queries.select(query_id, F.col(vec).alias("_q")).crossJoin(hinted(centers))
-    near = near.withColumn("_n", F.row_number().over(w.orderBy(F.desc(text.dot(F.col("_q"), F.col("centroid"))), "cell"))).where(F.col("_n") <= probes)
-    both = near.select(query_id, "_q", "cell").join(placed.select(item_id, vec, "cell"), "cell")
+    both = near(queries, centers, probes, query_id, vec).join(placed.select(item_id, vec, "cell"), "cell")
     scored = both.select(query_id, item_id, F.round(text.dot(F.col("_q"), F.col(vec)), 9).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(w.orderBy(F.desc("similarity"), item_id))).where(F.col("rank") <= k)
+    w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), item_id)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str, item_id: str) -> DataFrame:

@@ -58,10 +58,13 @@ def fit(items: DataFrame, budget: str = "available", order: str = "rank", by: st
     return items.join(kept, by).withColumn("included", F.array_contains("_kept", F.col(order))).drop("_kept")
 
 
-def redact_items(items: DataFrame, column: str = "text", source: str = "source", extra: tuple = ()) -> DataFrame:
-    """Personal data of untrusted items replaced; tokens are not counted again."""
-    done = security.redact(items, column, extra, "_wl_red", "_wl_cnt")
-    return done.withColumn(column, F.when(untrusted(source), F.col("_wl_red")).otherwise(F.col(column))).drop("_wl_red", "_wl_cnt")
+def redact_items(items: DataFrame, column: str = "text", source: str = "source", extra: tuple = (), count: str | None = None) -> DataFrame:
+    """Personal data of untrusted items replaced; tokens are not counted again. ``count`` names a column for how many."""
+    done = security.redact(items, column, extra, "_wl_red", "_wl_cnt").withColumn(column, F.when(untrusted(source), F.col("_wl_red")).otherwise(F.col(column)))
+    if count:
+        n = F.aggregate(F.map_values("_wl_cnt"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        done = done.withColumn(count, F.when(untrusted(source), n).otherwise(F.lit(0).cast("bigint")))
+    return done.drop("_wl_red", "_wl_cnt")
 
 
 def prompts(requests: DataFrame, items: DataFrame, cfg: Config = Config(), order: str = "rank", ids: tuple[str, str] = ("doc_id", "chunk_id")) -> DataFrame:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.config import Config
 from weftline.functions import text
+from weftline.shared import written
 
 
 def fresh(as_of: Column, expires: str = "expires_at") -> Column:
@@ -47,3 +49,18 @@ def counts(items: DataFrame, as_of: Column, least: float, by: str = "request_id"
     """How many items of each request expired or were too weak."""
     old = ~fresh(as_of)
     return items.groupBy(by).agg(F.count_if(old).alias("expired"), F.count_if(~old & ~strong(least)).alias("low_signal"), F.count("*").alias("items"))
+
+
+def apply(items: DataFrame, as_of: Column, cfg: Config = Config(), order: list[str] = ["item_id"], by: str = "request_id", mark=lambda _, df: df) -> tuple[DataFrame, DataFrame]:
+    """Ranked items without expired, weak, contradicting and duplicate ones, and (by, expired, low_signal, contradictions, duplicates).
+
+    ``contradictions`` counts keys with several values, ``duplicates`` the items that went as such.
+    """
+    first = counts(items, as_of, cfg.keep_similarity, by).drop("items")
+    alive = items.where(fresh(as_of) & strong(cfg.keep_similarity))
+    values = F.size(F.collect_set(F.coalesce("fact_value", F.lit("\x00"))))
+    clash = alive.where("fact_key is not null").groupBy(by, "fact_key").agg(values.alias("_v")).where("_v > 1").groupBy(by).agg(F.count("*").alias("contradictions"))
+    settled = written(mark("settle", resolve_conflicts(alive, order, by)), "settled")
+    kept = written(mark("filter", drop_duplicates(settled, cfg.duplicate_at, by=by)), "kept")
+    left = settled.groupBy(by).agg(F.count("*").alias("_all")).join(kept.groupBy(by).agg(F.count("*").alias("_left")), by).select(by, (F.col("_all") - F.col("_left")).alias("duplicates"))
+    return kept, first.join(clash, by, "left").join(left, by, "left")

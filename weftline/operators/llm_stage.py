@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -27,26 +28,111 @@ def collect(requests: DataFrame, as_of: Column, extra: dict[str, DataFrame] | No
     return out
 
 
-def complete(built: DataFrame, client: Callable[[], Callable[[str, str], str]], out: str = "answer", tries: int = 3) -> DataFrame:
-    """Answers of a model; ``client`` makes one in each task and is called with (system, user). A prompt that isn't ``ok`` gets none."""
+RESPONSE = "answer string, llm_model string, llm_backend string, input_tokens bigint, output_tokens bigint, cache_read_tokens bigint, cache_write_tokens bigint, retries int, tool_calls int"
+RETRYABLE = ("rate limit", "429", "overloaded", "529", "500", "502", "503", "timeout", "timed out", "connection")
 
-    @F.pandas_udf("string")
-    def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        model = client()
 
-        def once(system: str, user: str) -> str:
-            for k in range(tries):
-                try:
-                    return model(system, user)
-                except Exception:  # a service may fail for a while
-                    if k + 1 == tries:
-                        raise
-            return ""
+def retrying(call: Callable, tries: int = 4, first_s: float = 0.5, most_s: float = 8.0, sleep: Callable[[float], None] = time.sleep) -> tuple[object, int]:
+    """What ``call`` gives and how many retries it took: waits double; errors that don't look passing are raised at once."""
+    for k in range(tries):
+        try:
+            return call(), k
+        except Exception as e:
+            passing = isinstance(e, (TimeoutError, ConnectionError)) or any(x in str(e).lower() for x in RETRYABLE)
+            if k + 1 == tries or not passing:
+                raise
+            sleep(min(most_s, first_s * 2**k))
+    raise AssertionError
+
+
+def run_tools(model: Callable, system: str, user: str, tools: dict[str, Callable], most: int = 6) -> dict:
+    """A loop of model and tools: as long as the reply asks for tools, their results go back to it, ``most`` rounds at most.
+
+    ``model(system, messages, names)`` replies with a dictionary of ``text``, or of ``calls``: (id, name, arguments). An
+    unknown tool or one that fails gives its error as the result. Usage counts add up.
+    """
+    messages: list[dict] = [{"role": "user", "content": user}]
+    total, calls = {"input_tokens": 0, "output_tokens": 0}, 0
+    reply: dict = {}
+    for _ in range(most):
+        reply = model(system, messages, list(tools))
+        for k in total:
+            total[k] += reply.get(k, 0)
+        if not reply.get("calls"):
+            break
+        messages.append({"role": "assistant", "content": reply.get("text", ""), "calls": reply["calls"]})
+        for number, name, arguments in reply["calls"]:
+            calls += 1
+            try:
+                result = str(tools[name](**arguments)) if name in tools else f"error: no tool called {name}"
+            except Exception as e:  # the model is told
+                result = f"error: {e}"
+            messages.append({"role": "tool", "call": number, "content": result})
+    return reply | total | {"text": reply.get("text") or "", "tool_calls": calls}
 
-        for system, user, ok in batches:
-            yield pd.Series([once(s, u) if k else None for s, u, k in zip(system, user, ok)])
 
-    return built.withColumn(out, ask("system", "user", "ok" if "ok" in built.columns else F.lit(True)))
+def flattened(system: str | list[dict]) -> str:
+    """A system prompt of blocks as one text."""
+    return system if isinstance(system, str) else "\n\n".join(b["text"] for b in system if b.get("text"))
+
+
+def complete(built: DataFrame, client: Callable[[], Callable], tries: int = 4, tools: Callable[[], dict[str, Callable]] | None = None) -> DataFrame:
+    """``built`` with the columns of ``RESPONSE``. A prompt that isn't ``ok`` gets none.
+
+    ``client`` makes a model in each task. It is called with (system, user) and gives a text, or a dictionary of text, model,
+    backend and usage counts; with ``tools``, as ``run_tools`` says. Where counts are missing they are estimated.
+    """
+
+    @F.pandas_udf(RESPONSE)
+    def ask(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        model, kit = client(), tools() if tools else None
+        size = lambda t: max(1, (len(t) + 3) // 4)
+
+        def one(system: str, user: str, ok: bool) -> tuple:
+            if not ok:
+                return (None,) * 9
+            got, retries = retrying(lambda: run_tools(model, system, user, kit) if kit is not None else model(system, user), tries)
+            r = got if isinstance(got, dict) else {"text": got}
+            return (r.get("text", ""), r.get("model"), r.get("backend", "client"), r.get("input_tokens") or size(system) + size(user), r.get("output_tokens") or size(r.get("text", "")), r.get("cache_read_tokens", 0), r.get("cache_write_tokens", 0), retries, r.get("tool_calls", 0))
+
+        names = [f.split()[0] for f in RESPONSE.split(", ")]
+        for system, user, ok in batches:
+            f = pd.DataFrame([one(s, u, k) for s, u, k in zip(system, user, ok)], columns=names)
+            yield f.astype({c: "Int64" if c.endswith("tokens") else "Int32" for c in names[3:]})
+
+    asked = built.withColumn("_wl_r", ask("system", "user", "ok" if "ok" in built.columns else F.lit(True)))
+    return asked.select(*built.columns, "_wl_r.*")
+
+
+def respond(built: DataFrame, client: Callable | None, tools: Callable | None = None) -> DataFrame:
+    """``complete``, or without a client ``mock_answer``; a blocked prompt says why."""
+    if client:
+        out = complete(built, client, tools=tools)
+    else:
+        zero = lambda kind: F.lit(0).cast(kind)
+        text_ = F.when(F.col("ok"), mock_answer("user"))
+        out = built.withColumn("answer", text_).withColumns({"llm_model": F.lit(None).cast("string"), "llm_backend": F.when(F.col("ok"), F.lit("mock")), "input_tokens": F.col("prompt_tokens").cast("bigint"), "output_tokens": text.token_count("answer").cast("bigint"), "cache_read_tokens": zero("bigint"), "cache_write_tokens": zero("bigint"), "retries": zero("int"), "tool_calls": zero("int")})
+    blocked = ~F.col("ok")
+    out = out.withColumn("answer", F.when(blocked, F.concat(F.lit("[BLOCKED] "), F.array_join("errors", "; "))).otherwise(F.col("answer")))
+    out = out.withColumn("llm_backend", F.when(blocked, "none").otherwise(F.col("llm_backend")))
+    return out.withColumns({c: F.when(blocked, F.lit(0)).otherwise(F.col(c)) for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens", "retries", "tool_calls")}).withColumn("from_cache", F.lit(False))
+
+
+def from_cache(rows: DataFrame) -> DataFrame:
+    """Rows with an ``answer`` that a cache held, and no tokens spent."""
+    zero = {c: F.lit(0).cast("bigint") for c in ("input_tokens", "output_tokens", "cache_read_tokens", "cache_write_tokens")}
+    return rows.withColumns(zero | {"retries": F.lit(0), "tool_calls": F.lit(0), "llm_model": F.lit(None).cast("string"), "llm_backend": F.lit("cache"), "from_cache": F.lit(True)})
+
+
+def finalize(answered: DataFrame, model: str, facts: dict) -> DataFrame:
+    """A row of figures for each request; ``facts`` are the same for all of a batch. Only answers of a client cost."""
+    rate = answered.agg(F.round(F.coalesce(F.avg(F.col("from_cache").cast("int")), F.lit(0.0)), 6).alias("cache_hit_rate"))
+    spent = cost(F.coalesce("llm_model", F.lit(model)), F.col("input_tokens"), F.col("output_tokens"), F.col("cache_read_tokens"), F.col("cache_write_tokens"))
+    own = answered.select(
+        "request_id", "llm_backend", "cache_read_tokens", "prompt_tokens", "output_tokens", F.when(F.col("llm_backend").isin("mock", "none", "cache"), 0.0).otherwise(spent).alias("cost_usd"), F.col("n_items").alias("context_items_final"),
+        F.size("injection_flags").alias("injection_flags"), "pii_redacted", F.round("confidence", 6).alias("retrieval_confidence"), "low_confidence", *[F.lit(v).alias(k) for k, v in facts.items()],
+    )
+    return own.crossJoin(F.broadcast(rate))  # one row
 
 
 def mock_answer(user: str | Column) -> Column:

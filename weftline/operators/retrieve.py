@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import Config
 from weftline.functions import text, vectors
+from weftline.shared import written
 
 #: Expected bytes up to which a side of requests is broadcast.
 SMALL = 8 << 20
@@ -18,48 +19,43 @@ def hinted(df: DataFrame, limit: int = SMALL) -> DataFrame:
     return F.broadcast(df) if size <= limit else df
 
 
-def may_see(request: dict, item: dict) -> bool:
-    """The rule of ``authorized`` and ``fits`` for ``vectors.top_k``."""
-    if request.get("tenant_id") != item.get("tenant_id"):
-        return False
-    acl = item.get("acl") or []
-    if acl and not set(acl) & set(request.get("principals") or []):
-        return False
-    wanted = request.get("metadata_filter") or {}
-    have = item.get("metadata") or {}
-    return all(have.get(k) == v for k, v in dict(wanted).items())
-
-
 def authorized(tenant: Column, principals: Column, item_tenant: Column, acl: Column) -> Column:
-    """Same tenant, and an empty access list or one that names a principal."""
-    return (tenant == item_tenant) & ((F.size(acl) == 0) | F.coalesce(F.arrays_overlap(acl, principals), F.lit(False)))
+    """Same tenant, and an access list that is empty, null or names a principal."""
+    return (tenant == item_tenant) & (acl.isNull() | (F.size(acl) == 0) | F.coalesce(F.arrays_overlap(acl, principals), F.lit(False)))
 
 
 def fits(metadata: Column, wanted: Column) -> Column:
-    """Every wanted entry equals the item's; a missing key is null."""
-    return F.forall(F.map_entries(wanted), lambda e: F.try_element_at(metadata, e["key"]).eqNullSafe(e["value"]))
+    """Every wanted entry equals the item's; a missing key, or one of no metadata, is null. Nothing wanted fits all."""
+    return wanted.isNull() | F.forall(F.map_entries(wanted), lambda e: F.try_element_at(metadata, e["key"]).eqNullSafe(e["value"]))
 
 
 def vector_top_k(requests: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id") -> DataFrame:
-    """(request_id, item_id, similarity, rank), only items that the request may see."""
-    extra = tuple(c for c in ("tenant_id", "principals", "acl", "metadata", "metadata_filter") if c in requests.columns or c in items.columns)
-    return vectors.top_k(requests, items, k, "request_id", item_id, allowed=may_see if "tenant_id" in extra else None, extra=extra)
+    """(request_id, item_id, similarity, rank), only items that the request may see: tenant, access list and metadata."""
+    return vectors.top_k(requests, items, k, "request_id", item_id, rules=True)
 
 
 def lexical_top_k(requests: DataFrame, items: DataFrame, k: int, item_id: str = "chunk_id", k1: float = 1.2, b: float = 0.75, message: str = "user_message") -> DataFrame:
-    """(request_id, item_id, bm25, rank) with statistics over all items, of all tenants.
+    """(request_id, item_id, bm25, rank) with statistics over all items, of all tenants; the same rules as ``vector_top_k``.
 
-    Items are cut to the requests' terms before they are exploded, so the shuffle carries only postings that
-    some request asks for.
+    Items are read and split once: their postings are cut to the requests' terms before they are shuffled, with a
+    row of no term for each item's length, and written for the statistics and the scores.
     """
-    wanted = requests.select("request_id", "tenant_id", "principals", F.explode(text.query_terms(message)).alias("term"))
-    terms_ = hinted(wanted.select("term").distinct())
-    counted = items.select(item_id, "tenant_id", "acl", text.terms("text").alias("_t"))
-    stats = counted.agg(F.count("*").alias("n"), F.avg(F.size("_t")).alias("avgdl"))
-    postings = counted.select(item_id, "tenant_id", "acl", F.size("_t").alias("dl"), F.explode("_t").alias("term")).join(terms_, "term", "left_semi")
-    tf = postings.groupBy(item_id, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"), F.first("tenant_id").alias("tenant"), F.first("acl").alias("acl"))
+    wants = "metadata_filter" in requests.columns and "metadata" in items.columns
+    wanted = requests.select("request_id", "tenant_id", "principals", *(["metadata_filter"] if wants else []), F.explode(text.query_terms(message)).alias("term"))
+    terms_ = wanted.select("term").distinct().unionAll(requests.sparkSession.sql("select cast(null as string) term")).withColumnRenamed("term", "_w")
+    have = [F.col("acl"), *([F.col("metadata")] if wants else [])]
+    split = items.select(item_id, "tenant_id", *have, text.terms("text").alias("_t"))
+    split = split.select(item_id, F.col("tenant_id").alias("tenant"), *have, F.size("_t").alias("dl"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "_t")).alias("term"))
+    cut = split.join(hinted(terms_), F.col("term").eqNullSafe(F.col("_w")), "left_semi")
+    first = [F.first(c).alias(c) for c in ("dl", "tenant", "acl", *(["metadata"] if wants else []))]
+    tf = written(cut.groupBy(item_id, "term").agg(F.count("*").alias("tf"), *first), "postings")
+    stats = tf.where("term is null").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    tf = tf.where("term is not null")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hit = tf.join(hinted(df), "term").join(hinted(wanted), "term").where(authorized(F.col("tenant_id"), F.col("principals"), F.col("tenant"), F.col("acl")))
+    seen = authorized(F.col("tenant_id"), F.col("principals"), F.col("tenant"), F.col("acl"))
+    if wants:
+        seen = seen & fits(F.col("metadata"), F.col("metadata_filter"))
+    hit = tf.join(hinted(df), "term").join(hinted(wanted), "term").where(seen)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = hit.crossJoin(F.broadcast(stats)).groupBy("request_id", item_id).agg(F.round(F.sum(weight), 9).alias("bm25"))

@@ -65,6 +65,15 @@ LEX_CTE = f"""postings as (
 LEXICAL_TOPK = f"with {base.DOCS}, {base.REQUESTS}, {LEX_CTE} select request_id, doc_id, bm25, rank from lex"
 
 
+def metadata_topk(spark, sf_dir):
+    """Both legs for requests of which most want one source, some one that no document has."""
+    req = base.requests(spark, sf_dir).withColumn("metadata_filter", F.expr("case request_id % 4 when 0 then null when 1 then map('source', 'none of them') else map('source', concat('src', request_id % 12)) end"))
+    docs = base.documents(spark, sf_dir)
+    vec = retrieve.vector_top_k(base.with_vectors(req, "user_message"), base.with_vectors(docs), CFG.recall_k, "doc_id")
+    lex = retrieve.lexical_top_k(req, docs, CFG.recall_k, "doc_id")
+    return vec.select("request_id", "doc_id", F.lit("vector").alias("leg"), F.col("similarity").alias("score"), "rank").unionByName(lex.select("request_id", "doc_id", F.lit("words").alias("leg"), F.col("bm25").alias("score"), "rank"))
+
+
 def _fused(spark, sf_dir):
     req, docs, vec = _recall(spark, sf_dir)
     return req, docs, retrieve.fuse(vec, retrieve.lexical_top_k(req, docs, CFG.recall_k, "doc_id"), CFG, "doc_id")
@@ -83,6 +92,10 @@ FUSED_CTE = f"""{VEC_CTE}, {LEX_CTE}, fused as (
 )"""
 RRF_FUSION = f"with {FUSED_CTE} select request_id, doc_id, round(rrf, 9) rrf, vec_rank, lex_rank, rank from fused"
 
+WANTED = f"{base.VISIBLE} and case r.request_id % 4 when 0 then true when 1 then false else d.source = 'src' || (r.request_id % 12) end"
+METADATA_TOPK = f"""with {VEC_CTE.replace(base.VISIBLE, WANTED)}, {LEX_CTE.replace(base.VISIBLE, WANTED)}
+select request_id, doc_id, 'vector' leg, similarity score, rank from vec union all select request_id, doc_id, 'words', bm25, rank from lex"""
+
 
 def _candidates(spark, sf_dir):
     """Fused candidates with texts and the similarity that lexical hits lack."""
@@ -160,8 +173,8 @@ BLEND_CTE = f"""{FUSED_CTE}, {LOCAL_CTE}, blended as (
 )"""
 RANK_BLEND = f"with {BLEND_CTE} select request_id, doc_id, score, rank from blended"
 
-QUERIES = {f.__name__: f for f in (vector_topk, document_topk, lexical_topk, rrf_fusion, bm25_local, ephemeral_topk, rerank_minmax, rank_blend)}
+QUERIES = {f.__name__: f for f in (vector_topk, document_topk, lexical_topk, metadata_topk, rrf_fusion, bm25_local, ephemeral_topk, rerank_minmax, rank_blend)}
 ORACLE_SQL = {
-    "vector_topk": VECTOR_TOPK, "document_topk": DOCUMENT_TOPK, "lexical_topk": LEXICAL_TOPK, "rrf_fusion": RRF_FUSION, "bm25_local": BM25_LOCAL,
+    "vector_topk": VECTOR_TOPK, "document_topk": DOCUMENT_TOPK, "lexical_topk": LEXICAL_TOPK, "metadata_topk": METADATA_TOPK, "rrf_fusion": RRF_FUSION, "bm25_local": BM25_LOCAL,
     "ephemeral_topk": EPHEMERAL, "rerank_minmax": RERANK, "rank_blend": RANK_BLEND,
 }
