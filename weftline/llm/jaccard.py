@@ -225,20 +225,23 @@ def nodes(found: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def groups(sets: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
-    """(key, component): nodes that share a shortest prefix with another, linked transitively."""
+    """(node, component): hashes of the keys of nodes that share a shortest prefix with another, linked transitively.
+
+    Keys whose hashes are equal are in one group, which costs a comparison and no more.
+    """
     low = floors(cfg)
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _parts(batches, 2048):
             paths = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, cfg.trees)
             label = np.concatenate([prefixes(p, low) for p in paths]) if len(paths) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(paths)), cfg.trees))), pa.array(label)], names=["key", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(paths)), cfg.trees))), pa.array(label)], names=["node", "label"])
 
-    rows = sets.select("key", "paths").mapInArrow(explode, "key binary, label bigint")
+    rows = sets.select(F.xxhash64("key").alias("node"), "paths").mapInArrow(explode, "node bigint, label bigint")
     # combined before the shuffle, so that a prefix of very many nodes is no large group anywhere
-    shared = rows.groupBy("label").agg(F.min("key").alias("hub"), F.max("key").alias("last")).where("hub <> last").select("label", "hub")
-    stars = rows.join(shared, "label").where("key <> hub").select("key", "hub").distinct()
-    return components(stars, "key", "hub", scratch).withColumnRenamed("node", "key")
+    shared = rows.groupBy("label").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("label", "hub")
+    stars = rows.join(shared, "label").where("node <> hub").select("node", "hub").distinct()
+    return components(stars, "node", "hub", scratch)
 
 
 FOUND = "key_a binary, key_b binary, links bigint"
@@ -246,7 +249,7 @@ FOUND = "key_a binary, key_b binary, links bigint"
 
 def verified(docs: DataFrame, sets: DataFrame, cfg: Config, scratch: Scratch) -> DataFrame:
     """Rows of two kinds: (key_a, key_b) that hold linked nodes together, and (key_a, null, its links from one task)."""
-    placed = scratch.written(sets.select("key", "doc_id", "fp", "docs", "grams").join(groups(sets, cfg, scratch), "key"), "groups")
+    placed = scratch.written(sets.select(F.xxhash64("key").alias("node"), "key", "doc_id", "fp", "docs", "grams").join(groups(sets, cfg, scratch), "node").drop("node"), "groups")
     load = placed.groupBy("component").agg(F.sum("grams").alias("load"))
     slices = F.greatest(F.lit(1), F.ceil(F.col("load") / cfg.slice_grams)).cast("int")
     placed = placed.join(load.select("component", slices.alias("slices")), "component")
@@ -265,7 +268,7 @@ def verified(docs: DataFrame, sets: DataFrame, cfg: Config, scratch: Scratch) ->
             del s
             tidy()
 
-    shingled = held.mapInArrow(shingle, "component binary, slices int, slice int, key binary, docs bigint, paths binary, set binary")
+    shingled = held.mapInArrow(shingle, "component bigint, slices int, slice int, key binary, docs bigint, paths binary, set binary")
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     cells = shingled.withColumn("other", other).withColumn("low", F.least("slice", "other")).withColumn("high", F.greatest("slice", "other")).drop("slices", "other")
 
