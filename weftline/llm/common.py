@@ -57,13 +57,17 @@ def broadcast_if_small(df: DataFrame, limit: int = 8 << 20) -> DataFrame:
 
 
 def by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The ``n`` rows of the smallest hashes of ``key``.
+    """The ``n`` rows of the smallest hashes of ``key``; of ties, those of the smallest hashes of the row.
 
-    Sorting out n rows sends n rows of every task to the driver, so those that can't be among them go first: some 4n are left.
+    Sorting out n rows sends n rows of every task to the driver, so rows over a cut go first,
+    and the cut rises until n rows or all are under it.
     """
-    total, h = df.count(), F.xxhash64(key)  # of files' footers
-    few = df.where(h < F.lit(int(4 * n / total * 2**64) - 2**63)) if total > 4 * n else df
-    return few.orderBy(h, key).limit(n)
+    h, share = F.xxhash64(key), min(1.0, 4 * n / max(1, df.count()))  # counted from files' footers
+    while True:
+        few = df.where(h <= F.lit(min(2**63 - 1, int(share * 2**64) - 2**63)))
+        if share >= 1 or few.select(key).limit(n).count() >= n:
+            return few.orderBy(h, key, F.xxhash64(*df.columns)).limit(n)
+        share = min(1.0, 8 * share)
 
 
 def ranks(path: str) -> dict[bytes, int]:

@@ -1,21 +1,24 @@
 """Personal data found by a character-level bidirectional LSTM with CRF transitions.
 
-The network labels every character (none, e-mail, phone, IP address, card number, secret).
-It is trained in numpy from labelled spans: values of many shapes are written into real
-passages, and spans that plain patterns find in a bounded sample of the documents are
-labelled as well; passages without any stay as negatives, and passages that the model gets
+The network labels every character: none, or begin or inside of one of ``KINDS`` (e-mail,
+phone, IPv4 address, card number, secret, social security number, IBAN), so values that touch
+are two spans. It is trained in numpy from labelled spans: values of many shapes are written
+into real passages, and spans that plain patterns find in a bounded sample of the documents
+are labelled as well; passages without any stay as negatives, and passages that the model gets
 wrong are trained again. Texts are cut into overlapping windows over their whole length; each
 window is decoded by Viterbi, every character takes the label of the window in which it is
 farthest from an edge, and spans are formed over the whole text, across window borders.
 
-Decoding is exact: a window is only spared the Viterbi pass where its scores prove that the
-path without any label is the best one.
+What is found in a text depends on the text and the model alone, whatever it is batched with:
+padding keeps the state at zero and can only be without a label. Decoding is exact: a window
+is only spared the Viterbi pass where its scores prove that the path without any label is the
+best one. Of equal paths the one with lower labels is taken.
 
 Cases: a null text has no spans and stays null; an empty one stays empty. Texts of any
-length are scanned whole. Null ids and other null columns pass through, repeated rows are
-handled alike, an empty table gives an empty result. Extra columns are kept; one that is
-called like a result column is replaced by it. Without documents the model is trained on
-generated passages alone.
+length are scanned whole. Spans of any length count. Null ids and other null columns pass
+through, repeated rows are handled alike, an empty table gives an empty result. Extra columns
+are kept; one that is called like a result column is replaced by it. Without documents the
+model is trained on generated passages alone.
 """
 
 from __future__ import annotations
@@ -31,7 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weftline.llm.common import appended, by_hash, plus, table, texts, tidy
 
-LABELS = ("NONE", "EMAIL", "PHONE", "IP", "CARD", "SECRET")
+KINDS = ("NONE", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
+#: How often training writes in a value of each kind but the first; counting a card's digits takes the most.
+SHARES = (0.15, 0.15, 0.12, 0.22, 0.15, 0.09, 0.12)
+#: Label 2 k - 1 is the begin of kind k, 2 k the inside.
+LABELS = 2 * len(KINDS) - 1
 RESULT = "spans array<struct<start:int,end:int,label:string>>, redacted string"
 
 #: Weak labels for spans of the sample; only training uses them.
@@ -39,23 +46,24 @@ WEAK = (
     (1, re.compile(r"(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[A-Za-z]{2,}\b")),
     (5, re.compile(r"\bAKIA[0-9A-Z]{16}\b|\b(?:token|password|secret|api_key)\s?=\s?(?:\"[^\"\s]{8,}\"|[^\s\"]{8,})")),
     (3, re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")),
+    (7, re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,4})?(?!\w)")),
     (4, re.compile(r"(?<![\w])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?!\w)")),
+    (6, re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     (2, re.compile(r"(?<![\w+])(?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)")),
 )
 
 
 @dataclass(frozen=True)
 class Config:
-    hidden: int = 10
+    hidden: int = 12
     window: int = 384
     overlap: int = 48
     #: Documents that training may take from the table.
     max_docs: int = 700
-    steps: int = 420
+    steps: int = 800
     batch: int = 48
     length: int = 112
     rate: float = 0.02
-    min_span: int = 6
     seed: int = 5
 
 
@@ -132,12 +140,18 @@ def _lstm_back(dout: np.ndarray, saved: list, u: np.ndarray):
     return dz_all, du
 
 
+def _still(x: np.ndarray) -> None:
+    """Shut the input and forget gates at padding, so that states there are zero."""
+    x[: x.shape[0] // 2, PAD] = -1e4
+
+
 def _emit(p: dict, ids: np.ndarray, keep: bool = False):
-    """(T, L, B) label scores."""
+    """(T, L, B) label scores; padding can only be without a label."""
     f, sf = _lstm(p["xf"], p["uf"], ids, keep)
     g, sg = _lstm(p["xb"], p["ub"], ids[::-1], keep)
     h = f.shape[1]
     e = np.matmul(p["wo"][:, :h], f) + np.matmul(p["wo"][:, h:], g[::-1]) + p["bo"][:, None]
+    np.copyto(e[:, 1:], np.float32(-1e6), where=(ids == PAD)[:, None])
     return e, (f, sf, g, sg) if keep else None
 
 
@@ -211,7 +225,7 @@ def made_value(rng: np.random.Generator) -> tuple[int, str]:
     d = lambda n: "".join(map(str, rng.integers(0, 10, n)))
     w = lambda a, b: "".join(chr(97 + i) for i in rng.integers(0, 26, int(rng.integers(a, b))))
     pick = lambda *x: x[int(rng.integers(len(x)))]
-    kind = int(rng.integers(1, 6))
+    kind = 1 + int(rng.choice(len(KINDS) - 1, p=SHARES))
     if kind == 1:
         name = pick(f"{w(3, 10)}.{d(2)}", f"{w(3, 8)}.{w(3, 9)}", w(3, 10), f"{w(2, 7)}_{w(2, 7)}", f"{w(3, 7)}{d(int(rng.integers(1, 4)))}", f"{w(1, 3).upper()}{w(3, 8)}+{w(2, 5)}")
         return 1, f"{name}@{pick(f'mail{d(1)}.example', w(3, 10), f'{w(3, 8)}-{w(2, 6)}', f'{w(2, 6)}.{w(3, 8)}')}.{pick('com', 'org', 'net', 'de', 'fr', 'es', 'io', 'edu')}"
@@ -221,8 +235,14 @@ def made_value(rng: np.random.Generator) -> tuple[int, str]:
     if kind == 3:
         return 3, ".".join(str(int(x)) for x in rng.integers(0, 256, 4))
     if kind == 4:
-        g = [pick("4", "5", "3", "6") + d(3), d(4), d(4), d(4)]
+        g = [d(4), d(4), d(4), d(4)]
         return 4, pick("", "", " ", "-").join(g)
+    if kind == 6:
+        return 6, f"{d(3)}-{d(2)}-{d(4)}"
+    if kind == 7:
+        body = d(18) if rng.random() < 0.6 else w(4, 5).upper() + d(14)
+        code = pick("DE", "GB", "FR", "ES", "NL", "IT", "CH", "AT", w(2, 3).upper()) + d(2) + body[: int(rng.integers(11, 19))]
+        return 7, pick(code, " ".join(code[i : i + 4] for i in range(0, len(code), 4)))
     hexa = lambda n: "".join("0123456789abcdef"[i] for i in rng.integers(0, 16, n))
     upper = "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"[i] for i in rng.integers(0, 36, 16))
     return 5, pick("AKIA" + upper, "AKIA" + upper, f"password={hexa(18)}", f"password={w(8, 16)}{d(2)}", f'token = "{hexa(40)}"', f'token = "{hexa(32)}"', f"api_key={hexa(32)}")
@@ -235,12 +255,20 @@ def made_other(rng: np.random.Generator) -> str:
     return forms[int(rng.integers(len(forms)))]
 
 
+def marked(kind: int, n: int) -> np.ndarray:
+    """The labels of a value of n characters: a begin, then insides."""
+    y = np.full(n, 2 * kind, np.int8)
+    if kind:
+        y[:1] -= 1
+    return y
+
+
 def weak_labels(text: str) -> np.ndarray:
     y = np.zeros(len(text), np.int8)
     for label, pattern in WEAK:
         for m in pattern.finditer(text):
             if not y[m.start() : m.end()].any():
-                y[m.start() : m.end()] = label
+                y[m.start() : m.end()] = marked(label, m.end() - m.start())
     return y
 
 
@@ -254,25 +282,25 @@ def passages(sample: list[str], cfg: Config) -> list[tuple[str, np.ndarray]]:
     rng = np.random.default_rng(cfg.seed)
     bases: list[str] = [t for t in sample if t] or [_prose(rng, 300) for _ in range(100)]
     out = []
-    for _ in range(7 * max(600, len(bases))):
+    for _ in range(8 * max(600, len(bases))):
         t = bases[int(rng.integers(len(bases)))]
         at = int(rng.integers(max(1, len(t) - cfg.length)))
         t = t[at : at + cfg.length + 8]
         y = weak_labels(t)
         for _ in range(int(rng.choice(4, p=[0.3, 0.45, 0.2, 0.05]))):
             label, v = made_value(rng) if rng.random() < 0.7 else (0, made_other(rng))
-            free = [i for i in range(len(t) + 1) if (i == 0 or t[i - 1] in " \n" or rng.random() < 0.01) and not (0 < i < len(t) and y[i] and y[i - 1] == y[i])]
+            free = [i for i in range(len(t) + 1) if (i == 0 or t[i - 1] in " \n" or rng.random() < 0.01) and not (0 < i < len(t) and y[i] and y[i] % 2 == 0)]
             if not free:
                 continue
             i = free[int(rng.integers(len(free)))]
-            tail = (" ", " ", " ", "\n", ". ", ", ", "; ")[int(rng.integers(7))]
+            tail = (" ", " ", " ", "\n", ". ", ", ", "; ", ",")[int(rng.integers(8))]
             head = "" if i == 0 or t[i - 1] in " \n" else " "
             t = t[:i] + head + v + tail + t[i:]
-            y = np.concatenate([y[:i], np.zeros(len(head), np.int8), np.full(len(v), label, np.int8), np.zeros(len(tail), np.int8), y[i:]])
+            y = np.concatenate([y[:i], np.zeros(len(head), np.int8), marked(label, len(v)), np.zeros(len(tail), np.int8), y[i:]])
         out.append((t, y))
     for t in bases:  # spans of the sample in their own surroundings
         y = weak_labels(t)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], y])) > 0)
+        edge = np.flatnonzero(y % 2 == 1)
         for i in edge[:3]:
             a = max(0, int(i) - int(rng.integers(8, cfg.length - 40)))
             out.append((t[a : a + cfg.length], y[a : a + cfg.length]))
@@ -304,7 +332,7 @@ class Model:
         order = np.argsort(-length, kind="stable")  # windows of like length together
         for i in range(0, total, chunk):
             part = order[i : i + chunk]
-            t = int(length[part[0]])
+            t = int(length[part[0]]) + 1  # every window ends in padding
             idx = (base[owner[part]] + at[part])[None, :] + np.arange(t)[:, None]
             ids = np.where(np.arange(t)[:, None] < length[part][None, :], flat[idx], PAD)
             got = decode(_emit(self.p, ids)[0], self.p["tr"])
@@ -317,22 +345,25 @@ class Model:
         return out
 
     def spans(self, y: np.ndarray) -> list[tuple[int, int, int]]:
+        """(start, end, kind) of each labelled stretch; a begin, or another kind, starts one."""
         if not y.any():
             return []
-        cut = np.flatnonzero(np.diff(y)) + 1
+        kind = (y.astype(int) + 1) // 2
+        cut = np.flatnonzero((np.diff(kind) != 0) | (y[1:] % 2 == 1)) + 1
         edge = [0, *cut.tolist(), len(y)]
-        return [(a, b, int(y[a])) for a, b in zip(edge, edge[1:]) if y[a] and b - a >= self.cfg.min_span]
+        return [(a, b, int(kind[a])) for a, b in zip(edge, edge[1:]) if kind[a]]
 
 
 def fit(sample: list[str], cfg: Config = Config()) -> Model:
     rng = np.random.default_rng(cfg.seed + 1)
     data = passages(sample, cfg)
-    h, n = cfg.hidden, len(LABELS)
+    h, n = cfg.hidden, LABELS
     normal = lambda *s, k=0.2: (rng.standard_normal(s) * k).astype("f4")
     p = {"xf": normal(4 * h, ROWS), "uf": normal(4 * h, h), "xb": normal(4 * h, ROWS), "ub": normal(4 * h, h), "wo": normal(n, 2 * h, k=0.4), "bo": np.zeros(n, "f4"), "tr": np.zeros((n, n), "f4")}
     p["bo"][0] = 1.0
     for k in ("xf", "xb"):
         p[k][h : 2 * h] += 0.5  # remember at first
+        _still(p[k])
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
     coded = [(codes(t), y) for t, y in data]
 
@@ -341,13 +372,15 @@ def fit(sample: list[str], cfg: Config = Config()) -> Model:
         for j, k in enumerate(part):
             c, lab = coded[k]
             off = int(rng.integers(max(1, len(c) - cfg.length + 1)))
+            while off and lab[off] and lab[off] % 2 == 0:
+                off -= 1  # not from inside of a value: what stands at a window's edge is read in another window
             c, lab = c[off : off + cfg.length], lab[off : off + cfg.length]
             ids[: len(c), j], y[: len(c), j] = c, lab
         return ids, y
 
     model, hard = Model(p, cfg), list(range(len(coded)))
     for step in range(cfg.steps):
-        if step in (cfg.steps // 2, cfg.steps * 3 // 4):  # passages that it gets wrong, again
+        if step in (cfg.steps // 2, cfg.steps * 5 // 8, cfg.steps * 3 // 4, cfg.steps * 7 // 8):  # passages that it gets wrong, again
             got = model.labels([c for c, _ in coded])
             wrong = [k for k, (a, (_, y)) in enumerate(zip(got, coded)) if (a != y).any()]
             hard = wrong * max(1, len(coded) // (2 * max(1, len(wrong)))) + list(range(len(coded)))
@@ -377,7 +410,7 @@ def fit(sample: list[str], cfg: Config = Config()) -> Model:
 def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for a, b, label in spans:
-        out += [text[at:a], f"[{LABELS[label]}]"]
+        out += [text[at:a], f"[{KINDS[label]}]"]
         at = b
     return "".join([*out, text[at:]])
 
@@ -407,8 +440,9 @@ def find(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 read = texts(batch, text)
                 coded = [codes(t) if t else np.zeros(0, np.uint8) for t in read]
                 got = [model.spans(y) for i, k in _sized(coded, 400_000) for y in model.labels(coded[i:k])]
-                cells = [[{"start": a, "end": b, "label": LABELS[x]} for a, b, x in s] for s in got]
+                cells = [[{"start": a, "end": b, "label": KINDS[x]} for a, b, x in s] for s in got]
                 yield appended(batch, schema, {"spans": pa.array(cells, kind), "redacted": pa.array([redact(t, s) if s else t for t, s in zip(read, got)], pa.string())})
+        tidy()
 
     return docs.mapInArrow(run, schema)
 
