@@ -7,8 +7,9 @@ copies in one place and is encoded once; the ids are shuffled back to the blocks
 text is put together by position. So what is shuffled are the distinct words of blocks, not
 all positions: the blocks themselves are written in buckets and never move.
 
-Decoding joins ids with the vocabulary's table of token bytes. The table has as many rows as
-the vocabulary, whatever the corpus, and is sent to all tasks as one row.
+Decoding joins every token with the vocabulary's table of token bytes, by id. The table has as
+many rows as the vocabulary, whatever the corpus, so it is sent to all tasks; tokens are exploded
+in order, stay in their task through the join, and are put together again there: no shuffle.
 
 Cases: a null text has null ids and decodes to null; an empty one has no ids and decodes to
 an empty text. Lone surrogates count as U+FFFD. Texts of any length are encoded whole. Null
@@ -29,11 +30,10 @@ import pyarrow as pa
 import regex
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, size_of, table, texts, tidy, tokenizer_dir, utf8
+from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, table, texts, tidy, tokenizer_dir, utf8
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -42,6 +42,8 @@ FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\
 #: White space and numbers that the two libraries class differently, and marks.
 CONTROLS = "\x1c\x1d\x1e\x1f"
 RARE = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c in CONTROLS or c == "\x85" or unicodedata.category(c) in ("Nl", "No", "Mn", "Mc", "Me"))
+IS_RARE = np.zeros(sys.maxunicode + 1, bool)
+IS_RARE[[ord(c) for c in RARE]] = True
 #: PATTERN with white space as Unicode has it.
 SPACE = r"\t-\r \x85\xa0  -     　"
 EXACT = regex.compile(PATTERN.replace(r"[^\s\p", rf"[^{SPACE}\p").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
@@ -49,7 +51,7 @@ EXACT = regex.compile(PATTERN.replace(r"[^\s\p", rf"[^{SPACE}\p").replace(r"\s",
 
 def pretokens(text: str) -> list[str]:
     """The words of a text, in order; together they are the text."""
-    rare = any(c in text for c in CONTROLS) if text.isascii() else not RARE.isdisjoint(text)
+    rare = any(c in text for c in CONTROLS) if text.isascii() else IS_RARE[np.frombuffer(text.encode("utf-32-le"), np.uint32)].any()
     return EXACT.findall(text) if rare else FAST.findall(text)
 
 
@@ -117,13 +119,13 @@ def _blocks(columns: list[str], text: str, block_chars: int, parts: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 16 << 20) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 24 << 20) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``token_ids``, an array of the ids of ``text``."""
     spark = docs.sparkSession
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != "token_ids"]
     schema = plus(docs.select(*columns).schema, "token_ids array<int>")
-    size = size_of(docs)  # a part has the words of so many bytes of the table
-    parts = min(50_000, max(4, -(-size // part_bytes))) if size < 1 << 60 else 4 * spark.sparkContext.defaultParallelism  # else unknown
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(4, -(-size // part_bytes))  # a part has the words of so many bytes of text
     made = docs.select(*dict.fromkeys([*columns, text])).mapInArrow(_blocks(columns, text, block_chars, parts), "block bigint, part int, rows binary, data binary")
     blocks, _ = bucketed(made, "bpe-blocks", "block", max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -158,7 +160,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
         if len(codes):
             many, pool = (np.concatenate(x) for x in zip(*blobs))
             del blobs
-            first = (np.cumsum(many) - many).astype(np.int32)  # 32 bits hold what a block of some million characters has
+            first = (np.cumsum(many) - many).astype(np.int32)  # a block has under block_chars characters and one text more, of less than 2**31 bytes
             count = many.astype(np.int32)[codes]
             ends = np.cumsum(count, dtype=np.int32)
             offsets = np.concatenate([np.zeros(1, np.int32), ends])[np.concatenate([[0], np.cumsum(np.maximum(lens, 0))])]
@@ -175,21 +177,55 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
-    """The table of a vocabulary: token_id, and its bytes as characters U+0000 to U+00FF."""
-    rows = [(i, b.decode("latin-1")) for b, i in ranks(vocabulary).items()]
-    return spark.createDataFrame(rows, T.StructType([T.StructField("token_id", T.IntegerType()), T.StructField("piece", T.StringType())]))
+    """The table of a vocabulary: token_id, piece (its bytes)."""
+    known = ranks(vocabulary)
+    return spark.createDataFrame(pa.table({"token_id": pa.array(known.values(), pa.int32()), "piece": pa.array(known, pa.binary())}))
+
+
+def _strings(pieces: list[bytes | None]) -> pa.Array:
+    """Bytes as strings; what isn't UTF-8 becomes U+FFFD."""
+    try:
+        return pa.array(pieces, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace") for x in pieces], pa.string())
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text that its ids stand for."""
-    spark = docs.sparkSession
-    pieces = [""] * (1 + max(ranks(vocabulary).values()))
-    for b, i in ranks(vocabulary).items():
-        pieces[i] = b.decode("latin-1")
-    row = spark.createDataFrame([(pieces,)], "_wl_pieces array<string>")  # one row, as large as the vocabulary
-    text: Column = F.array_join(F.transform(F.col(ids), lambda i: F.coalesce(F.get(F.col("_wl_pieces"), i), F.lit(""))), "")
-    joined = docs.drop(out).crossJoin(F.broadcast(row))
-    return joined.withColumn(out, F.make_valid_utf8(F.encode(text, "ISO-8859-1").cast("string"))).drop("_wl_pieces")
+    schema = plus(docs.schema, f"{out} string")
+    columns = [f.name for f in schema][:-1]
+    one = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col(ids).cast("array<int>").alias("ids"))
+    each = one.select(F.posexplode_outer("ids").alias("pos", "id"), "row", F.col("ids").isNull().alias("null"))
+    each = each.select("id", "null", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row")).alias("row"))  # a text's columns go with its first token
+    joined = each.join(F.broadcast(token_bytes(docs.sparkSession, vocabulary)), F.col("id") == F.col("token_id"), "left").select("null", "row", "piece")
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_row, open_null, parts = None, False, []  # the text whose tokens may go on
+
+        def rows(row: pa.StructArray, made: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*(row.field(i) for i in range(len(columns))), _strings(made)], names=[*columns, out])
+
+        for batch in batches:
+            null, row, piece = (batch.column(i) for i in range(3))
+            _, ends, data = piece.buffers()
+            at = np.frombuffer(ends, np.int32, len(piece) + 1, 4 * piece.offset)
+            raw = memoryview(data) if data is not None else b""
+            first = np.flatnonzero(row.is_valid().to_numpy(zero_copy_only=False))
+            cut = at[np.append(first, len(piece))].tolist()
+            if open_row is not None:
+                parts.append(bytes(raw[at[0] : cut[0]]))
+            if not len(first):
+                continue
+            if open_row is not None:
+                yield rows(open_row, [None if open_null else b"".join(parts)])
+            missing = null.take(pa.array(first)).to_pylist()
+            if len(first) > 1:
+                yield rows(row.take(pa.array(first[:-1])), [None if m else bytes(raw[i:k]) for m, i, k in zip(missing, cut, cut[1:-1])])
+            open_row, open_null, parts = row.take(pa.array(first[-1:])), missing[-1], [bytes(raw[cut[-2] : cut[-1]])]
+        if open_row is not None:
+            yield rows(open_row, [None if open_null else b"".join(parts)])
+
+    return joined.mapInArrow(assemble, schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
