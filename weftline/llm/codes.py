@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.llm.bpe import VOCABULARY, pretokens
 from weftline.llm.common import appended, encoding, plus, table, texts, tokenizer_dir, utf8
@@ -208,6 +209,7 @@ def access(docs: DataFrame, position: str, codes: str = "codes", out: str = "tok
 
 
 def op7_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ids of every document as directly addressable codes."""
+    """The ids of every document as directly addressable codes, and its middle token, read from them by its address."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_texts(docs, f"{tokenizer_dir(spark)}/{VOCABULARY}").drop("text")
+    coded = encode_texts(docs, f"{tokenizer_dir(spark)}/{VOCABULARY}").drop("text")
+    return access(coded.withColumn("middle", F.expr("n_tokens div 2")), "middle", out="middle_token")
