@@ -48,9 +48,8 @@ class Config:
     #: Labelled documents of each class that training may take.
     max_docs: int = 1200
     min_word_docs: int = 3
-    epochs: int = 9
-    #: Small samples get as many epochs as this takes.
-    min_steps: int = 200
+    #: Batches that training takes, whatever the sample's size.
+    steps: int = 360
     batch: int = 48
     rate: float = 0.01
     seed: int = 7
@@ -247,7 +246,7 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
     every = np.concatenate([w for w, _ in train])
     ends = np.cumsum([len(w) for w, _ in train])
     loss = 0.0
-    epochs = max(cfg.epochs, -(-cfg.min_steps // -(-len(train) // cfg.batch)))
+    epochs = max(1, round(cfg.steps / -(-len(train) // cfg.batch)))
     for epoch in range(epochs):
         if epoch >= 2 and epoch % 2 == 0:  # the worst window of each document
             feats = _features(p, rows_a, off, wr)
@@ -440,13 +439,14 @@ def clean(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_docs: int) -> list[tuple[str, int]]:
-    """Up to ``max_docs`` labelled texts of each class, chosen by a hash of their id."""
+    """Up to ``max_docs`` labelled texts of each class, chosen by a hash of their id; repeated rows count once."""
     y = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("_y"))
     picked = None
     for k in (0, 1):
         one = y.where(F.col("_y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
         picked = one if picked is None else picked.unionAll(one)
-    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * max_docs ids
+    got = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").distinct()  # at most 2 * max_docs ids
+    got = got.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(2 * max_docs)  # where an id has several texts
     return [(r[1], r[2]) for r in sorted(got.collect(), key=lambda r: (r[0], r[2], r[1] or ""))]
 
 
