@@ -5,7 +5,7 @@ subtree, LC and LT those inside links; with the body's C and LC the density is
 
     C / T * log(C / LC * T / LT) / log(ln(C / notLC * LC + LC_body / C_body * C + e))
 
-where T, LC, LT and notLC count as 1 at least: characters per tag, adjusted for links. The
+where T, LC, LT, notLC and the divisor count as 1 at least: characters per tag, adjusted for links. The
 density sum of a node is the sum over its children, text lying directly in the node counting
 as a child of density C / 1 like an element without links. The node of the largest sum is
 found; the threshold is the least density on the path from it up to the body. From the body
@@ -189,9 +189,9 @@ def measures(page: Page):
     for i in range(n):
         c, t, lc, lt = chars[i], tags[i], lchars[i], ltags[i]
         if c:
-            base = math.log(math.log(c / max(1, c - lc) * lc + rate * c + math.e)) if lc or rate else 0.0
+            base = math.log(math.log(c / max(1, c - lc) * lc + rate * c + math.e))
             top = math.log(max(1.0, c / max(1, lc) * t / max(1, lt)))
-            density[i] = c / t * (top / base if base > 1 else top)
+            density[i] = c / t * top / max(1.0, base)
     for i in range(1, n):
         total[page.parent[i]] += density[i]
     return body, chars, density, total
