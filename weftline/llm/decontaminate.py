@@ -6,10 +6,15 @@ pattern as a whole. Each text is normalised alike and scanned once; hits that fo
 other merge into spans, and spans are mapped to character offsets of the original text,
 also where lower-casing changes its length. A document with a span is contaminated.
 
-Cases: null or empty texts have no span. Items that are null or have fewer than
-``min_words`` words are not searched: they would match ordinary prose. Null ids pass
-through, repeated rows are scanned each on its own, items with equal words each get their
-span. Empty tables on either side give no spans. Extra columns are kept by ``clean``.
+Items of fewer than ``min_words`` words, which ordinary prose holds by chance, are found where
+they are the whole text. The automaton is broadcast; a benchmark of more than ``shard_chars``
+characters of patterns is searched with several, one after the other, with the same result.
+
+Cases: null or empty texts have no span, nor have null items and those without a word. Texts of
+any length are scanned whole. Null ids pass through, repeated rows are scanned each on its own,
+items with equal words each get their span, and spans of several items may overlap. Empty tables
+on either side give no spans. Extra columns, whatever their names, are kept by ``clean`` and
+ignored by ``spans``.
 """
 
 from __future__ import annotations
@@ -24,9 +29,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm.common import table, texts
+from weftline.llm.common import table, texts, tidy
 
 WORD = re.compile(r"[^\W_]+")
+#: The edges of a normalised text.
+BEGIN, END = "\x02", "\x03"
 SPANS = "doc_id bigint, item_id bigint, first_word int, words int, start int, end int, whole_item boolean"
 
 
@@ -34,7 +41,7 @@ SPANS = "doc_id bigint, item_id bigint, first_word int, words int, start int, en
 class Config:
     n: int = 8
     min_words: int = 4
-    #: Characters of patterns in one automaton; a larger benchmark is scanned for in several passes.
+    #: Characters of patterns in one automaton, which bounds what is broadcast.
     shard_chars: int = 40_000_000
 
 
@@ -57,9 +64,11 @@ def patterns(items: list[tuple[int, str]], cfg: Config) -> tuple[dict[str, list[
     ids, count = [], []
     for item, text in items:
         w = words_of(text)
-        if len(w) < cfg.min_words:
+        if not w:
             continue
-        for k in range(max(1, len(w) - cfg.n + 1)):
+        if len(w) < cfg.min_words:
+            found[f"{BEGIN} {' '.join(w)} {END}"].append(len(ids))
+        for k in range(max(1, len(w) - cfg.n + 1) if len(w) >= cfg.min_words else 0):
             key = " " + " ".join(w[k : k + cfg.n]) + " "
             if not found[key] or found[key][-1] != len(ids):
                 found[key].append(len(ids))
@@ -74,14 +83,14 @@ class Scanner:
         found, self.ids, self.count = patterns(items, cfg)
         self.auto = ahocorasick.Automaton()
         for key, owners in found.items():
-            self.auto.add_word(key, (key.count(" ") - 1, owners))
+            self.auto.add_word(key, (len(key.strip(f" {BEGIN}{END}").split(" ")), owners))
         if found:
             self.auto.make_automaton()
         self.any = bool(found)
 
     def hits(self, words: list[str]) -> list[tuple[int, tuple]]:
-        """(end in the joined words, value) of every pattern met."""
-        return list(self.auto.iter(" " + " ".join(words) + " ")) if self.any and words else []
+        """(end in the joined words between their edges, value) of every pattern met."""
+        return list(self.auto.iter(f"{BEGIN} {' '.join(words)} {END}")) if self.any and words else []
 
     def spans(self, text: str | None) -> list[tuple]:
         """(item_id, first_word, words, start, end, whole_item), in order of item and place."""
@@ -92,7 +101,7 @@ class Scanner:
         ends = np.cumsum([len(w) + 1 for w in words])
         runs: dict[int, list[list[int]]] = defaultdict(list)
         for end, (n, owners) in hits:
-            last = int(np.searchsorted(ends, end))
+            last = int(np.searchsorted(ends, min(end - 1, ends[-1])))
             for o in owners:
                 mine = runs[o]
                 if mine and last - n + 1 <= mine[-1][2] + 1:  # the next pattern of the run
@@ -145,6 +154,8 @@ def clean(docs: DataFrame, items: DataFrame, cfg: Config = Config()) -> DataFram
             scan = Scanner(shared.value, cfg)
             for batch in batches:
                 yield batch.filter(pa.array([not scan.hits(words_of(t)) for t in texts(batch, "text")], pa.bool_()))
+            del scan
+            tidy()
 
         out = out.mapInArrow(run, docs.schema)
     return out
@@ -164,14 +175,14 @@ with doc as (
 ), piece as (
   select distinct item_id, len(w) item_words, least(len(w), 8) n,
          array_to_string(w[k + 1 : k + least(len(w), 8)], ' ') g
-  from item, unnest(range(0, greatest(1, len(w) - 7))) t(k) where len(w) >= 4
+  from item, unnest(range(0, greatest(1, len(w) - 7))) t(k) where len(w) > 0
 ), gram as (
-  select doc_id, k, z.n, array_to_string(w[k + 1 : k + z.n], ' ') g
+  select doc_id, k, z.n, len(w) doc_words, array_to_string(w[k + 1 : k + z.n], ' ') g
   from doc, (select distinct n from piece) z, unnest(range(0, len(w) - z.n + 1)) t(k)
 ), hit as (
   select doc_id, item_id, item_words, gram.n, k,
          k - row_number() over (partition by doc_id, item_id order by k) island
-  from gram join piece on gram.g = piece.g and gram.n = piece.n
+  from gram join piece on gram.g = piece.g and gram.n = piece.n and (item_words >= 4 or doc_words = item_words)
 ), run as (
   select doc_id, item_id, min(k) k0, max(k) + min(n) - 1 k1, min(item_words) item_words
   from hit group by doc_id, item_id, island
