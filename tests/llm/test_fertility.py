@@ -34,25 +34,34 @@ def test_query_against_brute_force(spark, sf_dir, documents):
     rows = {r.doc_id: (r.lang, brute(r.text)) for r in documents.collect()}
     values = defaultdict(list)
     names = {"chars_per_token": 1, "byte_share": 2, "evenness": 4}
-    key = lambda m, lang, n: (m, lang, int(math.log2(max(n, 1))) if m == "evenness" else -1)
+    key = lambda m, lang, n: (m, lang, int(math.log2(max(n, 1))) if m != "byte_share" else -1)
     for lang, v in rows.values():
         for m, i in names.items():
-            if v[0] > 0 and (m == "byte_share" or v[0] >= cfg.min_tokens):
+            if v[0] > 0:
                 values[key(m, lang, v[0])].append(round(v[i], 4))
     band = {}
-    for k, v in values.items():
-        v.sort()
+
+    def ends(k, v):
+        v = sorted(v)
         q1, q3 = v[math.ceil(len(v) * 0.25) - 1], v[math.ceil(len(v) * 0.75) - 1]
         below, above = getattr(cfg, k[0])
         far = (q3 - q1) * cfg.fence
-        band[k] = (None if below is None else q1 - max(far, below), None if above is None else q3 + max(far, above))
+        return (None if below is None else q1 - max(far, below), None if above is None else q3 + max(far, above))
+
+    for k, v in values.items():
+        band[k] = ends(k, v)
+        if len(v) < cfg.support:
+            alike = sorted((abs(j[2] - k[2]), j) for j in values if j[:2] == k[:2])
+            pool = [x for far, j in alike if sum(len(values[i]) for d, i in alike if d < far) < cfg.support for x in values[j]]
+            wide = ends(k, pool)
+            band[k] = tuple(f(a, b) if a is not None else None for f, a, b in zip((max, min), band[k], wide))
     got = {r.doc_id: r for r in fertility.op2_fertility(spark, sf_dir).collect()}
     assert set(got) == set(rows)
     for i, (lang, v) in rows.items():
         want = []
         for m, j in names.items():
             lo, hi = band.get(key(m, lang, v[0]), (None, None))
-            if (m == "byte_share" or v[0] >= cfg.min_tokens) and v[0]:
+            if v[0]:
                 if (lo is not None and round(v[j], 4) < lo) or (hi is not None and round(v[j], 4) > hi):
                     want.append(m)
         assert got[i].reasons == want and got[i].keep == (not want), i

@@ -7,14 +7,14 @@ it and is not counted). Entropy is given in bits and as ``evenness``, entropy ov
 maximum for that many tokens, which falls with a text's length.
 
 Bands. The language of a row is its ``lang``, else the script of most of its letters. Per
-language, and for evenness per language and class of length (powers of two of tokens), the
+language, and for evenness and characters per token per language and class of length (powers of
+two of tokens, so that short texts, whose measures spread more, are judged by short ones), the
 quartiles of each measure over all documents give a band of ``fence`` quartile distances
 beyond them, at least as wide as ``least`` says. A class of length with fewer than ``support``
 rows has a second band, of its rows and those of the nearest classes, as many on either side as
 needed, or else a single text would be its own measure; the narrower end holds. A language of
 so few rows in all has what it has. Rows outside a band are rejected, with the
-measures as ``reasons``. Texts of fewer than ``min_tokens`` tokens are not judged by evenness
-or characters per token: they say nothing of them yet.
+measures as ``reasons``. Texts of every length are judged.
 
 Quartiles come from exact counts of values rounded to ``grain``. The tables of bands have a
 row for each language and class of length, and join by a broadcast only if they are small.
@@ -53,7 +53,6 @@ class Config:
     chars_per_token: tuple = (0.35, 1.0)
     byte_share: tuple = (None, 0.02)
     evenness: tuple = (0.06, None)
-    min_tokens: int = 24
     #: Rows of a language from which the quartiles of a class of length are taken, if it has so many.
     support: int = 20
     grain: int = 4  # decimals
@@ -163,12 +162,11 @@ def measure(docs: DataFrame, folder: str, text: str = "text", lang: str | None =
 
 
 def bands(measured: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """(measure, band, class, low, high) over all rows; class is -1 but for evenness."""
+    """(measure, band, class, low, high) over all rows; class is -1 for byte_share."""
     cell = lambda name, klass: F.struct(F.lit(name).alias("measure"), klass.alias("class"), F.round(name, cfg.grain).alias("value"))
     one = F.lit(-1)
-    cells = F.array(cell("chars_per_token", one), cell("byte_share", one), cell("evenness", length_class()))
+    cells = F.array(cell("chars_per_token", length_class()), cell("byte_share", one), cell("evenness", length_class()))
     values = measured.where("n_tokens > 0").select("band", "n_tokens", F.explode(cells).alias("c")).select("band", "n_tokens", "c.*")
-    values = values.where((F.col("measure") == "byte_share") | (F.col("n_tokens") >= cfg.min_tokens))
     counts = values.groupBy("measure", "band", "class", "value").count()
     counts = written(counts, "fertility-counts")
     own, wide = _banded(counts, cfg), _banded(_supported(counts, cfg), cfg)
@@ -210,11 +208,10 @@ def judge(measured: DataFrame, found: DataFrame, cfg: Config = Config()) -> Data
     keys = []
     for m in names:
         b = found.where(F.col("measure") == m).select(F.col("band").alias(f"_wl_b_{m}"), F.col("class").alias(f"_wl_c_{m}"), F.col("low").alias(f"_wl_l_{m}"), F.col("high").alias(f"_wl_h_{m}"))
-        klass = length_class() if m == "evenness" else F.lit(-1)
+        klass = F.lit(-1) if m == "byte_share" else length_class()
         now = now.join(broadcast_if_small(b), (F.col("band") == F.col(f"_wl_b_{m}")) & (klass == F.col(f"_wl_c_{m}")), "left")
-        judged = F.lit(True) if m == "byte_share" else F.col("n_tokens") >= cfg.min_tokens
         value = F.round(m, cfg.grain)
-        out = judged & (F.coalesce(value < F.col(f"_wl_l_{m}"), F.lit(False)) | F.coalesce(value > F.col(f"_wl_h_{m}"), F.lit(False)))
+        out = F.coalesce(value < F.col(f"_wl_l_{m}"), F.lit(False)) | F.coalesce(value > F.col(f"_wl_h_{m}"), F.lit(False))
         keys.append(F.when(out, F.lit(m)))
     reasons = F.array_compact(F.array(*keys))
     return now.withColumn("reasons", reasons).withColumn("keep", F.size("reasons") == 0).select(*[c for c in measured.columns if c not in ("reasons", "keep")], "reasons", "keep")
