@@ -49,3 +49,34 @@ def test_nasty_rows_and_empty(spark, nasty, empty):
 
 def test_query_gives_the_rows_of_its_sql(spark, sf_dir):
     same(l.op9_licences(spark, sf_dir), l.sql(), sf_dir)
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+
+
+def test_a_whole_licence_is_found_clause_by_clause():
+    got = {(m[0], m[7]) for m in INDEX.matches("Copyright 2020 someone\n\n" + MIT)}
+    assert {(n, 1.0) for n in ("mit-grant", "mit-1", "mit-notice", "mit-2", "mit-3")} <= got
+    changed = MIT.replace("of this software", "of all of this software").replace("OTHER DEALINGS", "SOME OTHER DEALINGS")
+    assert {"mit-1", "mit-notice", "mit-2"} <= {m[0] for m in INDEX.matches(changed)}
+
+
+def test_one_posting_is_not_enough():
+    rare = max(INDEX.postings, key=lambda w: INDEX.idf[w])
+    assert all(INDEX.agree[t] > 1 for t, _ in INDEX.postings[rare]) and INDEX.candidates([rare]) == []

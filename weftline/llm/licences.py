@@ -1,19 +1,23 @@
 """Licence scan with a positional index of rare words.
 
-Templates are word sequences with mandatory key phrases. The index has the postings
-(template, position) of each template's rarest words by IDF over the templates, as many as a
-match may lack words and one more, so that every match meets at least one of them. A file's
-rarest licence words are looked up; its place minus the posting's position is where the
-template would begin, and places that postings agree on are candidates. A candidate is
-verified: at least ``coverage`` of the template's words stand at their relative positions,
-and each key phrase stands as a whole within ``slack`` words of the match.
+Templates are word sequences with mandatory key phrases: short references and notices, and whole
+licences, one template for each of their clauses, so that a clause that was changed or a word
+that was put in costs that clause and not the licence. The index has the postings (template,
+position) of each template's rarest words by IDF over the templates, as many as a match may lack
+words and ``AGREE`` more. A file's rarest licence words are looked up; its place minus the
+posting's position is where the template would begin. Postings are intersected: a beginning is a
+candidate if ``AGREE`` of them agree on it (fewer where a template is shorter), which every match
+does, since it can lack no more words than it may. A candidate is verified: at least ``coverage``
+of the template's words stand at their relative positions, and each key phrase stands as a whole
+within ``slack`` words of the match.
 
 A row for each match: template and licence, first word and number of words, character
 offsets in the text, matched words and their share.
 
-Cases: null, empty and wordless texts match nothing. Texts are scanned whole. A licence that
-occurs several times has a row for each place. Repeated rows and null ids are scanned each on
-their own. An empty table gives an empty result. Extra columns are ignored.
+Cases: null, empty and wordless texts match nothing. Texts are scanned whole, however long. A
+licence that occurs several times has a row for each place, and places that tie, or overlap, have
+a row each. Repeated rows and null ids are scanned each on their own. An empty table gives an
+empty result. Extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ WORD = re.compile(r"[^\W_]+")
 RESULT = "doc_id bigint, template string, licence string, first_word int, words int, start int, end int, matched int, coverage double"
 
 
+#: Postings that have to agree on where a template begins.
+AGREE = 2
+
+
 @dataclass(frozen=True)
 class Config:
     coverage: float = 0.8
@@ -40,11 +48,84 @@ class Config:
     slack: int = 3
 
 
+
+def _clauses(name: str, licence: str, *parts: tuple) -> tuple:
+    return tuple((f"{name}-{i + 1}", licence, words, phrases) for i, (words, *phrases) in enumerate(parts))
+
+
+_BSD = (
+    ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer", "redistributions of source code"),
+    ("Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution", "redistributions in binary form"),
+    ("This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular purpose are disclaimed", "copyright holders and contributors"),
+    ("In no event shall the copyright holder or contributors be liable for any direct, indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) arising in any way out of the use of this software, even if advised of the possibility of such damage", "exemplary or consequential damages"),
+)
+#: Clauses of whole licences.
+CLAUSES = (
+    *_clauses("mit", "MIT",
+        ("to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions", "sublicense and or sell copies"),
+        ("The Software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement", "noninfringement"),
+        ("In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software", "other dealings in the software"),
+    ),
+    *_clauses("bsd", "BSD", *_BSD),
+    *_clauses("isc", "ISC",
+        ("provided that the above copyright notice and this permission notice appear in all copies", "appear in all copies"),
+        ("The software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "disclaims all warranties"),
+        ("In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software", "other tortious action"),
+    ),
+    *_clauses("zlib", "Zlib",
+        ("Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions", "redistribute it freely"),
+        ("The origin of this software must not be misrepresented; you must not claim that you wrote the original software", "must not be misrepresented"),
+        ("If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required", "would be appreciated"),
+        ("Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software", "plainly marked"),
+        ("This notice may not be removed or altered from any source distribution", "removed or altered"),
+    ),
+    *_clauses("unlicense", "Unlicense",
+        ("Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means", "anyone is free to copy"),
+        ("In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain", "public domain"),
+        ("We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors", "heirs and successors"),
+        ("We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law", "overt act of relinquishment"),
+    ),
+    *_clauses("boost", "BSL-1.0",
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software", "person or organization"),
+        ("The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor", "source language processor"),
+    ),
+    *_clauses("gpl", "GPL",
+        ("either version 2 of the License, or (at your option) any later version", "version 2", "any later version"),
+        ("either version 3 of the License, or (at your option) any later version", "version 3", "any later version"),
+        ("This program is distributed in the hope that it will be useful, but without any warranty; without even the implied warranty of merchantability or fitness for a particular purpose", "hope that it will be useful"),
+        ("You should have received a copy of the GNU General Public License along with this program", "gnu general public license"),
+        ("Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed", "verbatim copies"),
+    ),
+    *_clauses("lgpl", "LGPL",
+        ("You should have received a copy of the GNU Lesser General Public License along with this library", "gnu lesser general public license"),
+    ),
+    *_clauses("agpl", "AGPL-3.0",
+        ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation", "gnu affero general public license"),
+        ("You should have received a copy of the GNU Affero General Public License along with this program", "gnu affero general public license"),
+    ),
+    *_clauses("mpl-2", "MPL-2.0",
+        ("If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/", "copy of the mpl"),
+    ),
+    *_clauses("apache-2", "Apache-2.0",
+        ("without warranties or conditions of any kind, either express or implied. See the License for the specific language governing permissions and limitations under the License", "governing permissions and limitations"),
+        ("each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form", "irrevocable copyright license"),
+        ("You must cause any modified files to carry prominent notices stating that You changed the files", "prominent notices"),
+        ("You must retain, in the Source form of any Derivative Works that You distribute, all copyright, patent, trademark, and attribution notices from the Source form of the Work", "attribution notices"),
+        ("This License does not grant permission to use the trade names, trademarks, service marks, or product names of the Licensor", "product names of the licensor"),
+    ),
+    *_clauses("cc0", "CC0-1.0",
+        ("Affirmer hereby overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders all of Affirmer's Copyright and Related Rights", "irrevocably and unconditionally waives"),
+    ),
+    *_clauses("cc-by", "CC-BY",
+        ("You must give appropriate credit, provide a link to the license, and indicate if changes were made", "appropriate credit"),
+    ),
+)
+
 #: (template, licence, words, key phrases)
 TEMPLATES = (
     ("mit-short", "MIT", "Released under the MIT License", ("mit license",)),
     ("mit-short-2", "MIT", "Licensed under the MIT license", ("mit license",)),
-    ("mit-grant", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction", ("free of charge", "without restriction")),
+    ("mit-grant", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction", ("free of charge", "without restriction")),
     ("mit-notice", "MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software", ("this permission notice",)),
     ("apache-2-short", "Apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
     ("apache-2-use", "Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", ("apache org licenses",)),
@@ -72,6 +153,7 @@ TEMPLATES = (
     ("eclipse-2", "EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0", ("eclipse public license",)),
     ("spdx-mit", "MIT", "SPDX-License-Identifier: MIT", ("spdx license identifier mit",)),
     ("spdx-apache-2", "Apache-2.0", "SPDX-License-Identifier: Apache-2.0", ("spdx license identifier apache 2 0",)),
+    *CLAUSES,
     ("all-rights", "proprietary", "All rights reserved", ("all rights reserved",)),
 )
 
@@ -88,18 +170,20 @@ class Index:
         df = Counter(w for t in self.words for w in set(t))
         self.idf = {w: math.log(len(templates) / n) for w, n in df.items()}
         self.need = [math.ceil(cfg.coverage * len(w) - 1e-9) for w in self.words]
+        self.agree = [min(AGREE, n) for n in self.need]
         self.postings: dict[str, list[tuple[int, int]]] = defaultdict(list)
         for t, w in enumerate(self.words):
-            for i in sorted(range(len(w)), key=lambda i: (-self.idf[w[i]], i))[: len(w) - self.need[t] + 1]:
+            for i in sorted(range(len(w)), key=lambda i: (-self.idf[w[i]], i))[: len(w) - self.need[t] + self.agree[t]]:
                 self.postings[w[i]].append((t, i))
         self.rare = frozenset(self.postings)
 
     def candidates(self, words: list[str]) -> list[tuple[int, int]]:
-        """(template, place in the file where it would begin), each once."""
+        """(template, place in the file where it would begin) on which enough postings agree."""
         if self.rare.isdisjoint(words):
             return []
-        get = self.postings.get
-        return sorted({(t, at - i) for at, w in enumerate(words) if w in self.rare for t, i in get(w)})
+        get, agree = self.postings.get, self.agree
+        seen = Counter((t, at - i) for at, w in enumerate(words) if w in self.rare for t, i in get(w))
+        return sorted(c for c, n in seen.items() if n >= agree[c[0]])
 
     def verified(self, words: list[str], t: int, d: int) -> tuple[int, int, int] | None:
         """First word, end and matched words of a match."""
