@@ -34,6 +34,11 @@ def test_documents_equal_whole_encodings_and_come_back(documents):
     assert check(bpe.decode(bpe.encode(documents, V, block_chars=50_000, part_bytes=100_000), V)) == documents.count()
 
 
+def test_decoding_does_not_depend_on_blocks(nasty, documents):
+    both = documents.unionByName(nasty).withColumn("rows", F.lit(1)).withColumn("id", F.lit("x"))
+    assert check(bpe.decode(bpe.encode(both, V), V, block_tokens=100)) == both.count()
+
+
 def test_nasty_rows_and_clashing_columns(nasty):
     df = nasty.withColumn("token_ids", F.lit("mine")).withColumn("block", F.lit(3)).withColumn("decoded", F.lit(1))
     got = bpe.decode(bpe.encode(df, V), V)

@@ -7,9 +7,10 @@ copies in one place and is encoded once; the ids are shuffled back to the blocks
 text is put together by position. So what is shuffled are the distinct words of blocks, not
 all positions: the blocks themselves are written in buckets and never move.
 
-Decoding joins every token with the vocabulary's table of token bytes, by id. The table has as
-many rows as the vocabulary, whatever the corpus, so it is sent to all tasks; tokens are exploded
-in order, stay in their task through the join, and are put together again there: no shuffle.
+Decoding joins the distinct ids of blocks of texts with the vocabulary's table of token bytes, by
+id. The table has as many rows as the vocabulary, whatever the corpus, so it is sent to all tasks;
+a block's ids are exploded in order, stay in their task through the join, and its texts are put
+together from the pieces there, by position: no shuffle.
 
 Cases: a null text has null ids and decodes to null; an empty one has no ids and decodes to
 an empty text. Lone surrogates count as U+FFFD. Texts of any length are encoded whole. Null
@@ -190,40 +191,68 @@ def _strings(pieces: list[bytes | None]) -> pa.Array:
         return pa.array([None if x is None else x.decode("utf-8", "replace") for x in pieces], pa.string())
 
 
-def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def _coded(columns: list[str], ids: str, most: int):
+    """Function for mapInArrow: rows to blocks of about ``most`` tokens: their distinct ids, and the rows with their tokens as numbers of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            size = whole.column(whole.schema.get_field_index(ids)).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            block = np.concatenate([[0], np.cumsum(size)[:-1]]) // most
+            cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
+            for lo, hi in zip(cut, cut[1:]):
+                batch = whole.slice(lo, hi - lo)
+                lists = batch.column(batch.schema.get_field_index(ids))
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                known, code = np.unique(flat, return_inverse=True) if len(flat) and (flat.min() < 0 or flat.max() >= 1 << 22) else (np.flatnonzero(np.bincount(flat.astype(np.int64))), None)
+                if code is None:
+                    number = np.zeros(int(known[-1]) + 1 if len(known) else 0, np.uint32)
+                    number[known] = np.arange(len(known))
+                    code = number[flat.astype(np.int64)]
+                lens = np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, size[lo:hi])
+                rows = pa.BufferOutputStream()
+                with pa.ipc.new_stream(rows, batch.select(columns).schema) as w:
+                    w.write_batch(batch.select(columns))
+                blob = put_arrays(code.astype(np.uint32), lens.astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array([known], pa.list_(pa.int64())), pa.array([rows.getvalue().to_pybytes()], pa.binary()), pa.array([blob], pa.binary())], names=["ids", "rows", "data"])
+
+    return run
+
+
+def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded", block_tokens: int = 500_000) -> DataFrame:
     """``docs`` with the text that its ids stand for."""
     schema = plus(docs.schema, f"{out} string")
     columns = [f.name for f in schema][:-1]
-    one = docs.select(F.struct(*(docs[c] for c in columns)).alias("row"), F.col(ids).cast("array<int>").alias("ids"))
-    each = one.select(F.posexplode_outer("ids").alias("pos", "id"), "row", F.col("ids").isNull().alias("null"))
-    each = each.select("id", "null", F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row")).alias("row"))  # a text's columns go with its first token
-    joined = each.join(F.broadcast(token_bytes(docs.sparkSession, vocabulary)), F.col("id") == F.col("token_id"), "left").select("null", "row", "piece")
+    blocks = docs.mapInArrow(_coded(columns, ids, block_tokens), "ids array<bigint>, rows binary, data binary")
+    cell = lambda i, first: F.struct(i.alias("id"), *(F.when(first, F.col(c)).alias(c) for c in ("rows", "data")))
+    # a block goes with its first id, which may be of no token where it has none
+    cells = F.transform(F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(-1).cast("bigint"))), lambda i, k: cell(i, k == 0))
+    joined = blocks.select(F.inline(cells)).join(F.broadcast(token_bytes(docs.sparkSession, vocabulary)), F.col("id") == F.col("token_id"), "left").select("rows", "data", "piece")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_row, open_null, parts = None, False, []  # the text whose tokens may go on
+        held, pieces = None, []
 
-        def rows(row: pa.StructArray, made: list[bytes | None]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([*(row.field(i) for i in range(len(columns))), _strings(made)], names=[*columns, out])
+        def texts_of(held: tuple, pieces: list[bytes | None]) -> pa.RecordBatch:
+            rows = pa.ipc.open_stream(held[0]).read_all().combine_chunks()
+            code, lens = get_arrays(held[1])
+            raw = pa.array([x or b"" for x in pieces], pa.large_binary()).take(pa.array(code))
+            data = memoryview(raw.buffers()[2] or b"")
+            at = np.frombuffer(raw.buffers()[1], np.int64, len(raw) + 1)[np.concatenate([[0], np.cumsum(np.maximum(lens, 0))])].tolist()
+            made = [None if n < 0 else bytes(data[a:b]) for n, a, b in zip(lens.tolist(), at, at[1:])]
+            return pa.RecordBatch.from_arrays([*(c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in rows.columns), _strings(made)], names=[*columns, out])
 
         for batch in batches:
-            null, row, piece = (batch.column(i) for i in range(3))
-            _, ends, data = piece.buffers()
-            at = np.frombuffer(ends, np.int32, len(piece) + 1, 4 * piece.offset)
-            raw = memoryview(data) if data is not None else b""
-            first = np.flatnonzero(row.is_valid().to_numpy(zero_copy_only=False))
-            cut = at[np.append(first, len(piece))].tolist()
-            if open_row is not None:
-                parts.append(bytes(raw[at[0] : cut[0]]))
-            if not len(first):
-                continue
-            if open_row is not None:
-                yield rows(open_row, [None if open_null else b"".join(parts)])
-            missing = null.take(pa.array(first)).to_pylist()
-            if len(first) > 1:
-                yield rows(row.take(pa.array(first[:-1])), [None if m else bytes(raw[i:k]) for m, i, k in zip(missing, cut, cut[1:-1])])
-            open_row, open_null, parts = row.take(pa.array(first[-1:])), missing[-1], [bytes(raw[cut[-2] : cut[-1]])]
-        if open_row is not None:
-            yield rows(open_row, [None if open_null else b"".join(parts)])
+            first = np.flatnonzero(batch.column(0).is_valid().to_numpy(zero_copy_only=False)).tolist()
+            got, at = batch.column(2).to_pylist(), 0
+            for k in first:
+                pieces += got[at:k]
+                if held is not None:
+                    yield texts_of(held, pieces)
+                held, pieces, at = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py()), [], k
+            pieces += got[at:]
+        if held is not None:
+            yield texts_of(held, pieces)
+        del held, pieces
+        tidy()
 
     return joined.mapInArrow(assemble, schema)
 
