@@ -19,7 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_licences": licences.op9_licences,
     "op10_katz": katz.op10_katz,
-    "op10_katz_trigrams": katz.op10_katz_trigrams,
 }
 
 ORACLE_SQL: dict[str, str] = {
