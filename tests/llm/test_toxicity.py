@@ -81,7 +81,24 @@ def test_without_both_classes_nothing_is_rejected(nasty):
         assert not m.trained and t.clean(nasty, m).count() == nasty.count()
 
 
-def test_query_scores_every_document(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = t.op8_toxicity(spark, sf_dir).collect()
-    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.collect()) and all(0 <= r.toxicity <= 1 for r in got)
+def test_query_equals_one_document_at_a_time(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in t.op8_toxicity(spark, sf_dir).collect()}
+    assert sorted(got) == sorted(docs)
+    model = t.fit_tables(spark, sf_dir)
+    for i, text in docs.items():
+        ((score, over, windows),) = t.Scorer(model).score([t.tokens(text)])
+        r = got[i]
+        assert abs(r.toxicity - score) < 1e-5 and r.windows == windows and abs(r.toxic_windows - over) <= 1
+        assert r.toxic == (windows > 0 and model.trained and score >= model.threshold) or abs(score - model.threshold) < 1e-4
+
+
+def test_windows_cover_the_text_and_the_worst_counts(model):
+    cfg = model.cfg
+    for n in (0, 1, 63, 64, 65, 200, 1000):
+        starts = t.windows_of(n, cfg)
+        assert {w for s in starts for w in range(s, min(n, s + cfg.window))} == set(range(n))
+    words = t.tokens(" ".join(f"word{i % 50}" for i in range(300)))
+    whole = t.Scorer(model).score([words])[0]
+    each = [t.Scorer(model).score([words[s : s + cfg.window]])[0][0] for s in t.windows_of(300, cfg)]
+    assert abs(whole[0] - max(each)) < 1e-5 and whole[2] == len(each)

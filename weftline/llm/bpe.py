@@ -214,11 +214,13 @@ def _coded(columns: list[str], ids: str, most: int):
                     w.write_batch(batch.select(columns))
                 blob = put_arrays(code.astype(np.uint32), lens.astype(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array([known], pa.list_(pa.int64())), pa.array([rows.getvalue().to_pybytes()], pa.binary()), pa.array([blob], pa.binary())], names=["ids", "rows", "data"])
+                del rows, blob
+            tidy(False)
 
     return run
 
 
-def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded", block_tokens: int = 500_000) -> DataFrame:
+def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded", block_tokens: int = 200_000) -> DataFrame:
     """``docs`` with the text that its ids stand for."""
     schema = plus(docs.schema, f"{out} string")
     columns = [f.name for f in schema][:-1]
@@ -247,6 +249,7 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str =
                 pieces += got[at:k]
                 if held is not None:
                     yield texts_of(held, pieces)
+                    tidy(False)
                 held, pieces, at = (batch.column(0)[k].as_py(), batch.column(1)[k].as_py()), [], k
             pieces += got[at:]
         if held is not None:

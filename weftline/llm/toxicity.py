@@ -11,8 +11,9 @@ class). Labels are of documents, so the worst window of a document is what is fi
 (multiple-instance learning).
 
 Cases: a null or empty text, or one without a letter, has no window, score 0.0 and is not
-toxic. Null ids and other null columns pass through. Repeated rows are scored each on its
-own and alike. An empty table gives an empty result. Extra columns are kept; one that is
+toxic. Texts of any length are scored whole. Null ids and other null columns pass through.
+Repeated rows are scored each on its own and alike; of windows that tie any is the worst, and a
+score that ties with the threshold is toxic. An empty table gives an empty result. Extra columns are kept; one that is
 called like a result column is replaced by it. With no labels, or only one class of them,
 the model scores 0.0 everywhere and rejects nothing.
 """
