@@ -5,8 +5,13 @@ benchmark passages go, personal data is replaced by labels, and what is left is
 stage is written as Parquet to the folder that the cluster names in ``spark.checkpoint.dir``
 and read again as the next one's input, so a lost executor never costs more than its stage.
 
-Null or empty texts are kept by every stage and have null or no ids; an empty table gives an
-empty result; extra columns are kept.
+Cases: null or empty texts are kept by every stage and have null or no ids; rows of a null id are
+kept, and judged by their text like all others but for the second stage, which compares documents
+with an id only. Of repeated rows (one id, one text) one stays, of copies that of the smallest id.
+Texts of any length are taken whole. An empty table gives an empty result. Extra columns, whatever
+their names, are kept; ``token_ids``, ``n_tokens`` and ``decoded`` of the documents are replaced by
+the last stage. Stages set ``spark.sql.execution.arrow.maxRecordsPerBatch`` to at most 1000 rows,
+as they are evaluated after they return; ``run``, which evaluates them itself, puts it back.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ from weftline.llm import bpe, decontaminate, jaccard, pii, toxicity
 from weftline.llm.common import table, tokenizer_dir, written
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Whole texts go to Python in batches of fewer rows than Spark's default, whose buffers would take a large part of an executor."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
+    if not 0 < int(spark.conf.get(BATCH)) <= rows:
+        spark.conf.set(BATCH, rows)
 
 
 def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +74,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    docs, before = table(spark, sf_dir, "documents"), spark.conf.get(BATCH)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            docs = written(stage(spark, docs, sf_dir), f"stage{k}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
