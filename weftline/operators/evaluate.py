@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import text
+from weftline.functions import text, vectors
+from weftline.operators import ingest
 
 METRICS = ("recall", "precision", "hit", "mrr", "ndcg")
 
@@ -43,6 +47,44 @@ def draw(trial: Column, at: Column, n: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", trial, at)), 1, 8), 16, 10).cast("bigint") % n
 
 
+def random_ranks(queries: DataFrame, docs: DataFrame, depth: int, query: str = "query_id", doc: str = "doc_id") -> DataFrame:
+    """(query, doc, score, rank): ``depth`` documents drawn for each query, the first of each among twice as many draws.
+
+    Documents are numbered and drawn numbers joined: no query meets all documents. Of few documents fewer may be drawn.
+    """
+    numbered = ingest.compact(docs.select(doc), [doc])
+    n = numbered.agg(F.count("*").alias("_n"))
+    pulls = queries.select(query, F.explode(F.sequence(F.lit(0), F.lit(2 * depth - 1))).alias("_i")).crossJoin(F.broadcast(n)).where("_n > 0")  # one row
+    first = pulls.select(query, "_i", draw(F.col(query), F.col("_i"), F.col("_n")).alias("row")).groupBy(query, "row").agg(F.min("_i").alias("_i"))
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy(query).orderBy("_i"))).where(F.col("rank") <= depth)
+    return ranked.join(numbered, "row").select(query, doc, F.lit(0.0).alias("score"), "rank")
+
+
+def containing(docs: DataFrame, queries: DataFrame, query: str = "query_id", message: str = "message", doc: str = "doc_id", column: str = "text") -> DataFrame:
+    """(query, doc): documents that hold a query's message, letter by letter, found by one automaton of all messages.
+
+    The messages are those of an evaluation set, which people write, and are held by every task.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in queries.select(query, message).where(F.length(message) > 0).collect()])
+    schema = f"{query} {queries.schema[query].dataType.simpleString()}, {doc} {docs.schema[doc].dataType.simpleString()}"
+    kinds = [vectors.arrow_type(queries.schema[query].dataType), vectors.arrow_type(docs.schema[doc].dataType)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for q, m in shared.value:
+            found.add_word(m, (*found.get(m, ()), q))
+        if shared.value:
+            found.make_automaton()
+        for b in batches:
+            rows = [(q, i) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t and shared.value for q in {q for _, qs in found.iter(t) for q in qs}]
+            cols = list(zip(*rows)) if rows else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[query, doc])
+
+    return docs.select(doc, column).mapInArrow(run, schema)
+
+
 def bootstrap(values: DataFrame, by: list[str], order: str, value: str, trials: int) -> DataFrame:
     """(by, mean, low, high): the mean, and percentiles 2.5 and 97.5 of resampled means.
 
@@ -108,6 +150,13 @@ def groundedness(answers: DataFrame, sources: DataFrame, key: str, threshold: fl
     return best.groupBy(key).agg(F.count("*").alias("claims"), ok.alias("supported")).withColumn("groundedness", F.round(F.col("supported") / F.col("claims"), 6))
 
 
+def unsupported(answers: DataFrame, sources: DataFrame, key: str, threshold: float = 0.5, claim: str = "claim") -> DataFrame:
+    """(key, unsupported): an answer's claims that no source is near to, in their order; keys without any have no row."""
+    pairs = answers.join(sources.select(key, F.col("embedding").alias("_s")), key, "left")
+    best = pairs.groupBy(key, "claim_id", claim).agg(F.max(F.round(text.dot(F.col("embedding"), F.col("_s")), 9)).alias("_m")).where(~F.coalesce(F.col("_m") >= threshold, F.lit(False)))
+    return best.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("claim_id", claim))), lambda x: x[claim]).alias("unsupported"))
+
+
 def claims(answer: str) -> Column:
     return F.filter(text.sentences(answer), lambda s: F.length(s) > 8)
 

@@ -93,3 +93,13 @@ def evict(records: DataFrame, as_of: Column, bound: int, cfg: Config = Config(),
     value = F.round(F.col("importance") / (1 + F.greatest(F.lit(0.0), as_of - F.col("last_used")) / 86400), 12)
     gone = records.where(F.col("importance") < cfg.pinned_at).withColumn("_v", value).orderBy("_v", key).limit(over)
     return records.join(gone.select(key), key, "left_anti")
+
+
+def forget(records: DataFrame, ids: DataFrame, key: str = "memory_id") -> DataFrame:
+    """Records without those whose key, within their scope, is in ``ids`` (scope, key)."""
+    return records.join(ids.select("scope", key), ["scope", key], "left_anti").select(*records.columns)
+
+
+def count(records: DataFrame, as_of: Column | None = None) -> DataFrame:
+    """(scope, records): how many each scope has; with ``as_of``, that are alive then."""
+    return (records if as_of is None else live(records, as_of)).groupBy("scope").agg(F.count("*").alias("records"))

@@ -27,7 +27,7 @@ def _tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 def _labels(q: DataFrame, d: DataFrame) -> DataFrame:
     """Documents that contain a query's text."""
-    return d.join(F.broadcast(q), F.contains("text", F.col("message"))).select("query_id", "doc_id")
+    return evaluate.containing(d, q)
 
 
 def _rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -37,10 +37,7 @@ def _rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     items = _open(d)
     vec = retrieve.vector_top_k(vectors.embed(req, "user_message"), vectors.embed(items), DEPTH, "doc_id").select(F.lit("vector").alias("config"), F.col("request_id").alias("query_id"), "doc_id", F.col("similarity").alias("score"), "rank")
     lex = retrieve.lexical_top_k(req, items, DEPTH, "doc_id").select(F.lit("lexical").alias("config"), F.col("request_id").alias("query_id"), "doc_id", F.col("bm25").alias("score"), "rank")
-    order = F.md5(F.concat_ws(":", "query_id", "doc_id"))
-    w = Window.partitionBy("query_id").orderBy("_o", "doc_id")
-    rand = q.select("query_id").crossJoin(d.select("doc_id")).withColumn("_o", order).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= DEPTH)
-    rand = rand.select(F.lit("random").alias("config"), "query_id", "doc_id", F.lit(0.0).alias("score"), "rank")
+    rand = evaluate.random_ranks(q.select("query_id"), d.select("doc_id"), DEPTH).withColumn("config", F.lit("random")).select(vec.columns)
     return written(vec.unionByName(lex).unionByName(rand), "rankings"), written(_labels(q, d), "labels")
 
 
@@ -58,10 +55,14 @@ dfs as (select term, count(*)::double df from postings group by term), sizes as
 wanted as (select distinct query_id, term from (select query_id, unnest({base.terms('message')}) term from q) where length(term) > 1),
 words as (select query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) score
   from wanted join postings using (term) join dfs using (term) join sizes using (doc_id) join stats on true group by all),
-rankings as (
+numbered as (select doc_id, row_number() over (order by doc_id) - 1 as row from d),
+drawn as (
+  select query_id, doc_id, row_number() over (partition by query_id order by i)::integer as rank from (
+    select query_id, ('0x' || substr(md5(query_id || ':' || i), 1, 8))::bigint % (select count(*) from d) as row, min(i) i from q, unnest(range(0, {2 * DEPTH})) r(i) group by all) join numbered using (row)
+), rankings as (
   select 'vector' config, query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::integer as rank from sims
   union all select 'lexical', query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::integer from words
-  union all select 'random', query_id, doc_id, 0.0::double, row_number() over (partition by query_id order by md5(query_id || ':' || doc_id), doc_id)::integer from q, d
+  union all select 'random', query_id, doc_id, 0.0::double, rank from drawn
 ), ranked as (select * from rankings where rank <= {DEPTH})"""
 
 
