@@ -89,8 +89,9 @@ def test_what_is_found_does_not_depend_on_the_batch(model, documents):
 
 
 def test_values_that_touch_are_two_spans(model):
-    y = np.array([0, 1, 2, 2, 1, 2, 5, 6, 6, 0], np.int8)
-    assert model.spans(y) == [(1, 4, 1), (4, 6, 1), (6, 9, 3)]
+    b = pii.BEGIN
+    y = np.array([0, b, 1, 1, b, 1, b, 3, 3, 0, b, 0, 2, 2, 4, b, b, 5, b], np.int8)
+    assert model.spans(y) == [(1, 4, 1), (4, 6, 1), (6, 9, 3), (12, 14, 2), (14, 15, 4), (16, 18, 5)]
 
 
 def test_kinds_in_prose_that_training_never_saw(model):

@@ -1,8 +1,8 @@
 """Personal data found by a character-level bidirectional LSTM with CRF transitions.
 
-The network labels every character: none, or begin or inside of one of ``KINDS`` (e-mail,
-phone, IPv4 address, card number, secret, social security number, IBAN), so values that touch
-are two spans. It is trained in numpy from labelled spans: values of many shapes are written
+The network labels every character: none, the begin of a value, or inside of one of ``KINDS``
+(e-mail, phone, IPv4 address, card number, secret, social security number, IBAN), so values that
+touch are two spans; a begin is of the kind that follows it, and without one is nothing. It is trained in numpy from labelled spans: values of many shapes are written
 into real passages, and spans that plain patterns find in a bounded sample of the documents
 are labelled as well; passages without any stay as negatives, and passages that the model gets
 wrong are trained again. Texts are cut into overlapping windows over their whole length; each
@@ -37,8 +37,9 @@ from weftline.llm.common import appended, by_hash, plus, table, texts, tidy
 KINDS = ("NONE", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "SSN", "IBAN")
 #: How often training writes in a value of each kind but the first; counting a card's digits takes the most.
 SHARES = (0.15, 0.15, 0.12, 0.22, 0.15, 0.09, 0.12)
-#: Label 2 k - 1 is the begin of kind k, 2 k the inside.
-LABELS = 2 * len(KINDS) - 1
+#: Label k is the inside of kind k; the last is the begin of any.
+BEGIN = len(KINDS)
+LABELS = BEGIN + 1
 RESULT = "spans array<struct<start:int,end:int,label:string>>, redacted string"
 
 #: Weak labels for spans of the sample; only training uses them.
@@ -55,7 +56,7 @@ WEAK = (
 
 @dataclass(frozen=True)
 class Config:
-    hidden: int = 12
+    hidden: int = 10
     window: int = 384
     overlap: int = 48
     #: Documents that training may take from the table.
@@ -151,7 +152,8 @@ def _emit(p: dict, ids: np.ndarray, keep: bool = False):
     g, sg = _lstm(p["xb"], p["ub"], ids[::-1], keep)
     h = f.shape[1]
     e = np.matmul(p["wo"][:, :h], f) + np.matmul(p["wo"][:, h:], g[::-1]) + p["bo"][:, None]
-    np.copyto(e[:, 1:], np.float32(-1e6), where=(ids == PAD)[:, None])
+    t, b = np.nonzero(ids == PAD)
+    e[t, 1:, b] = -1e6
     return e, (f, sf, g, sg) if keep else None
 
 
@@ -257,9 +259,9 @@ def made_other(rng: np.random.Generator) -> str:
 
 def marked(kind: int, n: int) -> np.ndarray:
     """The labels of a value of n characters: a begin, then insides."""
-    y = np.full(n, 2 * kind, np.int8)
+    y = np.full(n, kind, np.int8)
     if kind:
-        y[:1] -= 1
+        y[:1] = BEGIN
     return y
 
 
@@ -289,7 +291,7 @@ def passages(sample: list[str], cfg: Config) -> list[tuple[str, np.ndarray]]:
         y = weak_labels(t)
         for _ in range(int(rng.choice(4, p=[0.3, 0.45, 0.2, 0.05]))):
             label, v = made_value(rng) if rng.random() < 0.7 else (0, made_other(rng))
-            free = [i for i in range(len(t) + 1) if (i == 0 or t[i - 1] in " \n" or rng.random() < 0.01) and not (0 < i < len(t) and y[i] and y[i] % 2 == 0)]
+            free = [i for i in range(len(t) + 1) if (i == 0 or t[i - 1] in " \n" or rng.random() < 0.01) and not (0 < i < len(t) and 0 < y[i] < BEGIN)]
             if not free:
                 continue
             i = free[int(rng.integers(len(free)))]
@@ -300,7 +302,7 @@ def passages(sample: list[str], cfg: Config) -> list[tuple[str, np.ndarray]]:
         out.append((t, y))
     for t in bases:  # spans of the sample in their own surroundings
         y = weak_labels(t)
-        edge = np.flatnonzero(y % 2 == 1)
+        edge = np.flatnonzero(y == BEGIN)
         for i in edge[:3]:
             a = max(0, int(i) - int(rng.integers(8, cfg.length - 40)))
             out.append((t[a : a + cfg.length], y[a : a + cfg.length]))
@@ -348,8 +350,10 @@ class Model:
         """(start, end, kind) of each labelled stretch; a begin, or another kind, starts one."""
         if not y.any():
             return []
-        kind = (y.astype(int) + 1) // 2
-        cut = np.flatnonzero((np.diff(kind) != 0) | (y[1:] % 2 == 1)) + 1
+        begin = y == BEGIN
+        after = np.append(y[1:], 0)
+        kind = np.where(begin, np.where(after == BEGIN, 0, after), y).astype(int)
+        cut = np.flatnonzero((np.diff(kind) != 0) | begin[1:]) + 1
         edge = [0, *cut.tolist(), len(y)]
         return [(a, b, int(kind[a])) for a, b in zip(edge, edge[1:]) if kind[a]]
 
@@ -372,7 +376,7 @@ def fit(sample: list[str], cfg: Config = Config()) -> Model:
         for j, k in enumerate(part):
             c, lab = coded[k]
             off = int(rng.integers(max(1, len(c) - cfg.length + 1)))
-            while off and lab[off] and lab[off] % 2 == 0:
+            while off and 0 < lab[off] < BEGIN:
                 off -= 1  # not from inside of a value: what stands at a window's edge is read in another window
             c, lab = c[off : off + cfg.length], lab[off : off + cfg.length]
             ids[: len(c), j], y[: len(c), j] = c, lab
