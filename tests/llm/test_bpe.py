@@ -34,6 +34,13 @@ def test_documents_equal_whole_encodings_and_come_back(documents):
     assert check(bpe.decode(bpe.encode(documents, V, block_chars=50_000, part_bytes=100_000), V)) == documents.count()
 
 
+def test_encoding_and_decoding_in_one_pass(nasty, documents):
+    both = documents.unionByName(nasty).withColumn("Decoded", F.lit(1)).withColumn("rows", F.lit(2))
+    got = bpe.encode(both, V, block_chars=20_000, decoded="decoded")
+    assert got.columns == [*documents.columns, "rows", "token_ids", "decoded"] and check(got) == both.count()
+    assert bpe.encode(both.limit(0), V, decoded="decoded").count() == 0
+
+
 def test_decoding_does_not_depend_on_blocks(nasty, documents):
     both = documents.unionByName(nasty).withColumn("rows", F.lit(1)).withColumn("id", F.lit("x"))
     assert check(bpe.decode(bpe.encode(both, V), V, block_tokens=100)) == both.count()

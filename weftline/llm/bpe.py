@@ -33,6 +33,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, table, texts, tidy, tokenizer_dir, utf8
 
@@ -120,8 +121,11 @@ def _blocks(columns: list[str], text: str, block_chars: int, parts: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 24 << 20) -> DataFrame:
-    """``docs`` (or its columns ``keep``) with ``token_ids``, an array of the ids of ``text``."""
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 24 << 20, decoded: str | None = None) -> DataFrame:
+    """``docs`` (or its columns ``keep``) with ``token_ids``, an array of the ids of ``text``.
+
+    With ``decoded``, a column of that name has what ``decode`` makes of the ids, in one pass: blocks go on as they are.
+    """
     spark = docs.sparkSession
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != "token_ids"]
     schema = plus(docs.select(*columns).schema, "token_ids array<int>")
@@ -171,10 +175,18 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
             flat = pool[at]
             del at
         tokens = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32), pa.int32()), mask=pa.array(lens < 0))
-        return pa.table([*(rows[c] for c in columns), tokens], names=[*columns, "token_ids"])
+        got = pa.table([*(rows[c] for c in columns), tokens], names=[*columns, "token_ids"])
+        if not decoded:
+            return got
+        mine = [c for c in got.column_names if c.lower() != decoded.lower()]
+        parts = [_coded_block(b, mine, "token_ids") for b in got.combine_chunks().to_batches(max_chunksize=1024)]
+        return pa.Table.from_batches(parts, CODED) if parts else CODED.empty_table()
 
     whole = blocks.where("part = -1").select("block", "rows", "data")
-    return whole.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(assemble, schema)
+    both = whole.groupBy("block").cogroup(coded.groupBy("block"))
+    if decoded:
+        return _decoded(both.applyInArrow(assemble, BLOCK), vocabulary, plus(schema, f"{decoded} string"))
+    return both.applyInArrow(assemble, schema)
 
 
 def token_bytes(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -191,8 +203,31 @@ def _strings(pieces: list[bytes | None]) -> pa.Array:
         return pa.array([None if x is None else x.decode("utf-8", "replace") for x in pieces], pa.string())
 
 
+#: A block of texts to decode: its distinct ids, its rows as an Arrow stream, and the rows' tokens as numbers of the ids.
+BLOCK = "ids array<bigint>, rows binary, data binary"
+CODED = pa.schema([("ids", pa.list_(pa.int64())), ("rows", pa.binary()), ("data", pa.binary())])
+
+
+def _coded_block(batch: pa.RecordBatch, columns: list[str], ids: str) -> pa.RecordBatch:
+    lists = batch.column(batch.schema.get_field_index(ids))
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    if len(flat) and (flat.min() < 0 or flat.max() >= 1 << 22):
+        known, code = np.unique(flat, return_inverse=True)
+    else:
+        known = np.flatnonzero(np.bincount(flat.astype(np.int64)))
+        number = np.zeros(int(known[-1]) + 1 if len(known) else 0, np.uint32)
+        number[known] = np.arange(len(known))
+        code = number[flat.astype(np.int64)]
+    lens = np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    rows = pa.BufferOutputStream()
+    with pa.ipc.new_stream(rows, batch.select(columns).schema) as w:
+        w.write_batch(batch.select(columns))
+    blob = put_arrays(code.astype(np.uint32), lens.astype(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array([known], pa.list_(pa.int64())), pa.array([rows.getvalue().to_pybytes()], pa.binary()), pa.array([blob], pa.binary())], schema=CODED)
+
+
 def _coded(columns: list[str], ids: str, most: int):
-    """Function for mapInArrow: rows to blocks of about ``most`` tokens: their distinct ids, and the rows with their tokens as numbers of those."""
+    """Function for mapInArrow: rows to blocks of about ``most`` tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -200,21 +235,7 @@ def _coded(columns: list[str], ids: str, most: int):
             block = np.concatenate([[0], np.cumsum(size)[:-1]]) // most
             cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), whole.num_rows] if whole.num_rows else []
             for lo, hi in zip(cut, cut[1:]):
-                batch = whole.slice(lo, hi - lo)
-                lists = batch.column(batch.schema.get_field_index(ids))
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                known, code = np.unique(flat, return_inverse=True) if len(flat) and (flat.min() < 0 or flat.max() >= 1 << 22) else (np.flatnonzero(np.bincount(flat.astype(np.int64))), None)
-                if code is None:
-                    number = np.zeros(int(known[-1]) + 1 if len(known) else 0, np.uint32)
-                    number[known] = np.arange(len(known))
-                    code = number[flat.astype(np.int64)]
-                lens = np.where(lists.is_null().to_numpy(zero_copy_only=False), -1, size[lo:hi])
-                rows = pa.BufferOutputStream()
-                with pa.ipc.new_stream(rows, batch.select(columns).schema) as w:
-                    w.write_batch(batch.select(columns))
-                blob = put_arrays(code.astype(np.uint32), lens.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array([known], pa.list_(pa.int64())), pa.array([rows.getvalue().to_pybytes()], pa.binary()), pa.array([blob], pa.binary())], names=["ids", "rows", "data"])
-                del rows, blob
+                yield _coded_block(whole.slice(lo, hi - lo), columns, ids)
             tidy(False)
 
     return run
@@ -223,12 +244,16 @@ def _coded(columns: list[str], ids: str, most: int):
 def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str = "decoded", block_tokens: int = 200_000) -> DataFrame:
     """``docs`` with the text that its ids stand for."""
     schema = plus(docs.schema, f"{out} string")
-    columns = [f.name for f in schema][:-1]
-    blocks = docs.mapInArrow(_coded(columns, ids, block_tokens), "ids array<bigint>, rows binary, data binary")
+    return _decoded(docs.mapInArrow(_coded([f.name for f in schema][:-1], ids, block_tokens), BLOCK), vocabulary, schema)
+
+
+def _decoded(blocks: DataFrame, vocabulary: str, schema: T.StructType) -> DataFrame:
+    """The rows of blocks with the text of each as the last column of ``schema``."""
+    *columns, out = (f.name for f in schema)
     cell = lambda i, first: F.struct(i.alias("id"), *(F.when(first, F.col(c)).alias(c) for c in ("rows", "data")))
     # a block goes with its first id, which may be of no token where it has none
     cells = F.transform(F.when(F.size("ids") > 0, F.col("ids")).otherwise(F.array(F.lit(-1).cast("bigint"))), lambda i, k: cell(i, k == 0))
-    joined = blocks.select(F.inline(cells)).join(F.broadcast(token_bytes(docs.sparkSession, vocabulary)), F.col("id") == F.col("token_id"), "left").select("rows", "data", "piece")
+    joined = blocks.select(F.inline(cells)).join(F.broadcast(token_bytes(blocks.sparkSession, vocabulary)), F.col("id") == F.col("token_id"), "left").select("rows", "data", "piece")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pieces = None, []
@@ -263,5 +288,5 @@ def decode(docs: DataFrame, vocabulary: str, ids: str = "token_ids", out: str =
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as ids, their number, and the text decoded from them."""
     vocabulary = f"{tokenizer_dir(spark)}/{VOCABULARY}"
-    got = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep=["doc_id"])
-    return decode(got.withColumn("n_tokens", F.size("token_ids")), vocabulary)
+    got = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep=["doc_id"], decoded="decoded")
+    return got.withColumn("n_tokens", F.size("token_ids"))

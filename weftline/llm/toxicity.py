@@ -326,7 +326,7 @@ def _cut(score: np.ndarray, y: np.ndarray) -> float:
 class Scorer:
     """Scores lists of words; keeps the network inputs of words it has seen."""
 
-    def __init__(self, model: Model, keep_words: int = 250_000, chunk: int = 1024):
+    def __init__(self, model: Model, keep_words: int = 200_000, chunk: int = 1024):
         self.m, self.keep, self.chunk = model, keep_words, chunk
         self._reset()
 
@@ -348,7 +348,7 @@ class Scorer:
         more = (feats @ self.m.p["wx"] + self.m.p["bx"]).astype("f4")
         need = self.used + len(new)
         if need > len(self.proj):
-            self.proj = np.concatenate([self.proj, np.empty((max(need - len(self.proj), len(self.proj)), self.proj.shape[1]), "f4")])
+            self.proj = np.concatenate([self.proj, np.empty((max(need - len(self.proj), len(self.proj) // 4), self.proj.shape[1]), "f4")])
         self.proj[self.used : need] = more
         self.ids.update(zip(new, range(self.used, need)))
         self.used = need
