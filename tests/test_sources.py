@@ -27,6 +27,31 @@ def test_files_and_sync(spark, tmp_path):
     assert sync.apply(first, now).count() == 2
 
 
+def test_a_directory_and_the_engine_are_kept_in_line(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.txt").write_text("alpha")
+    (root / "b.txt").write_text("beta")
+    e = Engine(spark, str(tmp_path / "index"))
+    nothing = spark.createDataFrame([], "tenant_id string, root string, path string, sha1 string")
+    manifest, changes = sync.run(e, str(root), nothing)
+    assert {r.action for r in changes.collect()} == {"added"} and sorted(r.text for r in e.chunks().collect()) == ["alpha", "beta"]
+    (root / "a.txt").write_text("gamma")
+    (root / "b.txt").unlink()
+    manifest, changes = sync.run(e, str(root), manifest)
+    assert sorted(r.action for r in changes.collect()) == ["deleted", "updated"] and [r.text for r in e.chunks().collect()] == ["gamma"]
+    (root / "a.txt").unlink()
+    manifest, _ = sync.run(e, str(root), manifest)
+    assert manifest.count() == 0 and e.chunks().count() == 0
+
+
+def test_feedback_becomes_labelled_queries(spark, tmp_path):
+    at = str(tmp_path / "feedback")
+    files.write_feedback(spark.createDataFrame([("q1", 1, ["d1"]), ("q2", -1, ["d9"])], "query string, rating int, relevant array<string>"), at)
+    files.write_feedback(spark.createDataFrame([("q1", 1, ["d2", "d1"]), ("q3", 1, None)], "query string, rating int, relevant array<string>"), at)
+    assert {r["query"]: r.relevant for r in files.feedback_queries(spark, at).collect()} == {"q1": ["d1", "d2"], "q3": []}
+
+
 def test_unknown_suffix(spark, tmp_path):
     import pytest
 

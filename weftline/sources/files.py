@@ -79,3 +79,19 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def write_queries(queries: DataFrame, path: str, mode: str = "error") -> None:
     queries.select("query", "relevant", "note").write.mode(mode).json(path)
+
+
+FEEDBACK = "request_id string, query string, rating int, relevant array<string>, note string, ts double"
+
+
+def write_feedback(rows: DataFrame, path: str) -> None:
+    """Ratings of answers added to a folder of JSON Lines; columns of ``FEEDBACK`` that are missing are null."""
+    kinds = dict(f.split() for f in FEEDBACK.split(", "))
+    rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(k).alias(c) for c, k in kinds.items()]).write.mode("append").json(path)
+
+
+def feedback_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Positive ratings as labelled queries: (query, relevant, note), all that any rating of a query names."""
+    rated = spark.read.schema(FEEDBACK).json(path).where("rating > 0 and query is not null")
+    named = rated.select("query", F.explode_outer("relevant").alias("doc"))
+    return named.groupBy("query").agg(F.array_sort(F.collect_set("doc")).alias("relevant")).withColumn("note", F.lit("feedback"))
