@@ -405,6 +405,8 @@ def fit(sample: list[str], cfg: Config = Config()) -> Model:
             m[k] += 0.1 * (x - m[k])
             v[k] += 0.01 * (x * x - v[k])
             p[k] -= np.float32(rate) * (m[k] / (1 - 0.9 ** (step + 1))) / (np.sqrt(v[k] / (1 - 0.99 ** (step + 1))) + 1e-7)
+    del data, coded, m, v
+    tidy()
     return model
 
 

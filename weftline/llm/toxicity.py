@@ -208,7 +208,9 @@ class _Adam:
 def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
     """Train on (text, label) pairs; a fifth of them is held out for the threshold and the report."""
     cfg = cfg or Config()
-    docs = [(t, int(y)) for text, y in rows if y is not None and (t := tokens(text))]
+    one: dict[str, str] = {}  # a word is held once, not for each place
+    docs = [(t, int(y)) for text, y in rows if y is not None and (t := [one.setdefault(w, w) for w in tokens(text)])]
+    del one
     if len({y for _, y in docs}) < 2:
         return Model(cfg, {}, {}, {}, trained=False)
     rng = np.random.default_rng(cfg.seed)
@@ -223,7 +225,8 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
         rows_ += [grams.setdefault(g, len(grams) + 1) for g in grams_of(w)]
         offsets.append(len(rows_))
         word_rows.append(words.get(w, 0))
-    rows_a, off, wr = np.array(rows_), np.array(offsets), np.array(word_rows)
+    rows_a, off, wr = np.array(rows_, np.int32), np.array(offsets), np.array(word_rows, np.int32)
+    del rows_, offsets, word_rows
     d, h = cfg.word_dim + cfg.char_dim, cfg.hidden
     normal = lambda *s, k=0.1: (rng.standard_normal(s) * k).astype("f4")
     p = {
@@ -250,10 +253,12 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
     epochs = max(1, round(cfg.steps / -(-len(train) // cfg.batch)))
     for epoch in range(epochs):
         if epoch >= 2 and epoch % 2 == 0:  # the worst window of each document
-            feats = _features(p, rows_a, off, wr)
+            cut = [*range(0, len(wr), 8192), len(wr)]  # their n-grams are many: a part of the words at a time
+            feats = np.concatenate([_features(p, rows_a[off[a] : off[b]], off[a : b + 1] - off[a], wr[a:b]) for a, b in zip(cut, cut[1:])])
             proj = _project(p, feats)
             score = np.concatenate([_forward(p, proj, every[i : i + 512].T)[0] for i in range(0, len(every), 512)])
             pick = [int(np.argmax(score[e - len(w) : e])) for (w, _), e in zip(train, ends)]
+            del feats, proj, score
         elif epoch < 2:
             pick = [int(rng.integers(len(w))) for w, _ in train]
         order, loss = rng.permutation(len(train)), 0.0
@@ -297,10 +302,12 @@ def fit(rows: list[tuple[str, int]], cfg: Config | None = None) -> Model:
     del train, every, adam
     model = Model(cfg, grams, words, p)
     scorer = Scorer(model)
-    scored = scorer.score([t for t, _ in docs])
+    scored = [x for a, b in _batches([t for t, _ in docs], 200_000) for x in scorer.score([t for t, _ in docs[a:b]])]
     s, y = np.array([x[0] for x in scored]), np.array([y for _, y in docs])
     model.threshold = _cut(s, y)
     hs, hy = s[:held] >= model.threshold, y[:held] == 1
+    del scorer
+    tidy()
     model.report = {"docs": len(docs), "held_out": held, "accuracy": float((hs == hy).mean()) if held else 1.0, "recall": float((hs & hy).sum() / max(1, hy.sum())), "precision": float((hs & hy).sum() / max(1, hs.sum())), "loss": loss / max(1, len(docs) - held)}
     return model
 
