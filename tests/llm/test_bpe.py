@@ -39,6 +39,7 @@ def test_encoding_and_decoding_in_one_pass(nasty, documents):
     got = bpe.encode(both, V, block_chars=20_000, decoded="decoded")
     assert got.columns == [*documents.columns, "rows", "token_ids", "decoded"] and check(got) == both.count()
     assert bpe.encode(both.limit(0), V, decoded="decoded").count() == 0
+    assert check(bpe.encode(both, V, decoded="decoded", apart=True)) == both.count()
 
 
 def test_decoding_does_not_depend_on_blocks(nasty, documents):

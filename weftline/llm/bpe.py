@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, table, texts, tidy, tokenizer_dir, utf8
+from weftline.llm.common import PATTERN, bucketed, encoding, get_arrays, plus, put_arrays, ranks, table, texts, tidy, tokenizer_dir, utf8, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -121,10 +121,11 @@ def _blocks(columns: list[str], text: str, block_chars: int, parts: int):
     return run
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 24 << 20, decoded: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str] | None = None, block_chars: int = 4_000_000, part_bytes: int = 24 << 20, decoded: str | None = None, apart: bool = False) -> DataFrame:
     """``docs`` (or its columns ``keep``) with ``token_ids``, an array of the ids of ``text``.
 
-    With ``decoded``, a column of that name has what ``decode`` makes of the ids, in one pass: blocks go on as they are.
+    With ``decoded``, a column of that name has what ``decode`` makes of the ids: blocks go on as they are, or, ``apart``, are
+    written between the two, which takes disk and spares a Python worker a task.
     """
     spark = docs.sparkSession
     columns = [c for c in (docs.columns if keep is None else keep) if c.lower() != "token_ids"]
@@ -185,7 +186,8 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[str]
     whole = blocks.where("part = -1").select("block", "rows", "data")
     both = whole.groupBy("block").cogroup(coded.groupBy("block"))
     if decoded:
-        return _decoded(both.applyInArrow(assemble, BLOCK), vocabulary, plus(schema, f"{decoded} string"))
+        got = both.applyInArrow(assemble, BLOCK)
+        return _decoded(written(got, "bpe-coded") if apart else got, vocabulary, plus(schema, f"{decoded} string"))
     return both.applyInArrow(assemble, schema)
 
 
