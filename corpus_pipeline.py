@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The columns of documents, with ``token_ids``, ``n_tokens`` and the text ``decoded`` from the ids."""
     small_batches(spark)
     vocabulary = f"{tokenizer_dir(spark)}/{bpe.VOCABULARY}"
-    return bpe.encode(docs, vocabulary, decoded="decoded").withColumn("n_tokens", F.size("token_ids"))
+    return bpe.encode(docs, vocabulary, decoded="decoded", apart=True).withColumn("n_tokens", F.size("token_ids"))
 
 
 STAGES = [
