@@ -42,6 +42,24 @@ def test_viterbi_against_all_paths():
     assert (pii.decode(low, tr) == pii.viterbi(low, tr)).all()
 
 
+def test_decoding_is_exact_and_spared_where_no_stretch_gains(monkeypatch):
+    rng = np.random.default_rng(4)
+    tr = np.full((4, 4), -2, "f4") + np.eye(4, dtype="f4") * 4
+    e = rng.standard_normal((30, 4, 400)).astype("f4") * 1.5
+    e[:, 0] += np.linspace(0, 4, 400, dtype="f4")
+    e[0, 1, :20] += 9  # stretches at the edges enter or leave for nothing
+    e[-1, 2, 20:40] += 9
+    e[:, :, 40] = 0  # ties
+    exact, sent = pii.viterbi, []
+    monkeypatch.setattr(pii, "viterbi", lambda e, tr: sent.append(e.shape[2]) or exact(e, tr))
+    want = exact(e, tr)
+    assert (pii.decode(e, tr) == want).all() and want.any(0).sum() <= sum(sent) < 400
+    sent.clear()
+    e = np.zeros((30, 4, 5), "f4")
+    e[:, 0], e[7, 3] = 4, 4.5  # a character's advantage is less than entering and leaving take
+    assert not pii.decode(e, tr).any() and not sent
+
+
 def test_gradients(model):
     rng = np.random.default_rng(1)
     e, tr, y = rng.standard_normal((5, 6, 2)), rng.standard_normal((6, 6)), rng.integers(0, 6, (5, 2))

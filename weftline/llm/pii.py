@@ -151,7 +151,9 @@ def _emit(p: dict, ids: np.ndarray, keep: bool = False):
     f, sf = _lstm(p["xf"], p["uf"], ids, keep)
     g, sg = _lstm(p["xb"], p["ub"], ids[::-1], keep)
     h = f.shape[1]
-    e = np.matmul(p["wo"][:, :h], f) + np.matmul(p["wo"][:, h:], g[::-1]) + p["bo"][:, None]
+    e = np.matmul(p["wo"][:, :h], f)
+    e += np.matmul(p["wo"][:, h:], g[::-1])
+    e += p["bo"][:, None]
     t, b = np.nonzero(ids == PAD)
     e[t, 1:, b] = -1e6
     return e, (f, sf, g, sg) if keep else None
@@ -181,39 +183,42 @@ def _crf_grad(e: np.ndarray, tr: np.ndarray, y: np.ndarray):
 def viterbi(e: np.ndarray, tr: np.ndarray) -> np.ndarray:
     """Best labels (T, B) of scores (T, L, B); of equal paths the one with lower labels."""
     t, n, b = e.shape
-    back = np.empty((t, n, b), np.int8)
-    s = e[0]
+    s = np.empty((t, n, b), np.result_type(e, tr))
+    s[0] = e[0]
     for k in range(1, t):
-        best = s[0][None] + tr[0][:, None]
-        arg = back[k]
-        arg[:] = 0
-        for i in range(1, n):
-            v = s[i][None] + tr[i][:, None]
-            better = v > best
-            np.copyto(best, v, where=better)
-            arg[better] = i
-        s = best + e[k]
+        np.max(s[k - 1][:, None] + tr[:, :, None], axis=0, out=s[k])
+        s[k] += e[k]
     out = np.empty((t, b), np.int8)
-    out[-1] = s.argmax(0)
-    j = np.arange(b)
+    out[-1] = s[-1].argmax(0)
     for k in range(t - 1, 0, -1):
-        out[k - 1] = back[k][out[k], j]
+        out[k - 1] = (s[k - 1] + tr[:, out[k]]).argmax(0)
     return out
 
 
 def decode(e: np.ndarray, tr: np.ndarray) -> np.ndarray:
     """``viterbi``, spared where no labelled stretch can gain on the path of label 0.
 
-    A stretch of m labelled characters changes the score by its advantages plus at most
-    (m - 1) * stay + ends, where ``ends`` bounds what entering and leaving add. So none gains
-    where every character's advantage is below -max(stay, ends).
+    A stretch of m labelled characters changes the score by at most its advantages plus (m - 1) * stay, what entering
+    adds where it doesn't begin the window, and what leaving adds where it doesn't end it. The best sum of any stretch
+    is found in one pass; windows whose sum stays under zero by more than rounding can amount to have no label.
     """
+    t = e.shape[0]
     stay = float(tr[1:, 1:].max() - tr[0, 0])
-    enter, leave = float(tr[0, 1:].max() - tr[0, 0]), float(tr[1:, 0].max() - tr[0, 0])
-    gain = max(stay, enter + leave, enter, leave, 0.0)
-    lead = e[:, 1:].max(1) - e[:, 0]
-    need = (lead + np.float32(gain) >= 0).any(0)
-    out = np.zeros((e.shape[0], e.shape[2]), np.int8)
+    enter, leave = np.float32(tr[0, 1:].max() - tr[0, 0]), np.float32(tr[1:, 0].max() - tr[0, 0])
+    lead = np.maximum(e[:, 1], e[:, 2])
+    for i in range(3, e.shape[1]):
+        np.maximum(lead, e[:, i], out=lead)
+    lead -= e[:, 0]
+    size = float(np.abs(e[:, 0]).max()) + max(0.0, float(lead.max())) + float(np.abs(tr).max())
+    slack = np.float32(4 * np.finfo("f4").eps * t * t * size)  # of sums of t scores and transitions each
+    run, best = lead[0].copy(), lead[0].copy()
+    for k in range(1, t):
+        run += np.float32(stay)
+        np.maximum(run, enter, out=run)
+        run += lead[k]
+        np.maximum(best, run, out=best)
+    need = np.maximum(best + leave, run) + slack >= 0
+    out = np.zeros((t, e.shape[2]), np.int8)
     if need.any():
         out[:, need] = viterbi(np.ascontiguousarray(e[:, :, need]), tr)
     return out
