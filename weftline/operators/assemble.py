@@ -62,7 +62,7 @@ def redact_items(items: DataFrame, column: str = "text", source: str = "source",
     """Personal data of untrusted items replaced; tokens are not counted again. ``count`` names a column for how many."""
     done = security.redact(items, column, extra, "_wl_red", "_wl_cnt").withColumn(column, F.when(untrusted(source), F.col("_wl_red")).otherwise(F.col(column)))
     if count:
-        n = F.aggregate(F.map_values("_wl_cnt"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+        n = F.coalesce(security.redacted("_wl_red"), F.lit(0).cast("bigint"))
         done = done.withColumn(count, F.when(untrusted(source), n).otherwise(F.lit(0).cast("bigint")))
     return done.drop("_wl_red", "_wl_cnt")
 

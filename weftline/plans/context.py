@@ -209,7 +209,7 @@ select doc_id request_id, 'document: ''' || case when length(f) <= 50 then f els
 
 
 def pii_redact(spark, sf_dir):
-    return security.redact(_tainted(spark, sf_dir)).select("doc_id", F.col("redacted").alias("text"), F.aggregate(F.map_values("counts"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("found"))
+    return security.redact(_tainted(spark, sf_dir)).select("doc_id", F.col("redacted").alias("text"), security.redacted("redacted").alias("found"))
 
 
 PII = f"with {TAINTED}, r as (select doc_id, {redact_sql('text')} t from tainted) select doc_id, t as text, len(regexp_extract_all(t, '\\[REDACTED_')) found from r"
