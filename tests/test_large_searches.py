@@ -60,3 +60,20 @@ def test_texts_are_cut_into_pieces_by_size():
     assert [a for a, _ in got] == [0, *np.cumsum([n for _, n in got])[:-1].tolist()] and sum(n for _, n in got) == len(texts)
     assert all(n == 1 or n <= 3 and sum(len(t or "") for t in texts[a : a + n]) <= 20 + max(len(t or "") for t in texts[a : a + n]) for a, n in got)
     assert list(vectors.pieces(pa.array([], pa.string()))) == []
+
+
+@pytest.mark.parametrize("few", [5, 4096])
+def test_cells_near_to_a_query_are_searched_exactly(spark, small, monkeypatch, few):
+    from weftline.operators import ann
+
+    monkeypatch.setattr(vectors, "FEW", few)
+    monkeypatch.setattr(vectors, "SHARD_BYTES", 320 if few == 5 else 16 << 20)
+    rows = [(i, v) for i, v in table() if v]
+    centers = [(c, rows[7 * c + 1][1]) for c in range(9)]
+    cell = {i: i * 5 % 9 for i, _ in rows}
+    looks = {q: {c for c, _ in sorted(centers, key=lambda x: (-float(np.dot(v, x[1])), x[0]))[:4]} for q, v in rows}
+    items = spark.createDataFrame([(i, v, cell[i]) for i, v in rows], "i bigint, embedding array<double>, cell int").repartition(3)
+    q, c = items.selectExpr("i q", "embedding"), spark.createDataFrame(centers, "cell int, centroid array<double>")
+    got = {(r.q, r["rank"]): (r.i, r.similarity) for r in ann.search(q, items, c, 5, 4, "q", "i").collect()}
+    assert got == brute(rows, rows, 5, lambda q, i: cell[i] in looks[q])
+    assert ann.near(q, c, 4).count() == len(rows)  # a row a query, not one for each of its cells

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from weftline.functions import text
-from weftline.operators.retrieve import hinted
+from weftline.functions import vectors
 
 
 def index(items: DataFrame, cells: int | None = None, vec: str = "embedding", seed: int = 1, sample: int = 50_000) -> tuple[DataFrame, DataFrame]:
@@ -32,20 +35,34 @@ def index(items: DataFrame, cells: int | None = None, vec: str = "embedding", se
     return model.transform(ready).drop("_v"), centers
 
 
-def near(queries: DataFrame, centers: DataFrame, probes: int, query_id: str, vec: str = "embedding") -> DataFrame:
-    """(query_id, _q, cell): the ``probes`` cells nearest to each query."""
-    w = Window.partitionBy(query_id)
-    all_ = queries.select(query_id, F.col(vec).alias("_q")).crossJoin(hinted(centers))  # a row a centroid, as many as the fit was asked for
-    ranked = all_.withColumn("_n", F.row_number().over(w.orderBy(F.desc(text.dot(F.col("_q"), F.col("centroid"))), "cell")))
-    return ranked.where(F.col("_n") <= probes).select(query_id, "_q", "cell")
+def near(queries: DataFrame, centers: DataFrame, probes: int, vec: str = "embedding") -> DataFrame:
+    """``queries`` with ``_cells``: the packed bits of the ``probes`` cells nearest to each.
+
+    Centroids are as many as the fit was asked for, and held by every task; no query meets them as rows.
+    """
+    found = sorted((r["cell"], r["centroid"]) for r in centers.collect())
+    shared = queries.sparkSession.sparkContext.broadcast(np.array([c for _, c in found], "f8").reshape(len(found), -1))
+    cells = np.array([c for c, _ in found], "i8")
+    bits = 8 * -(-(int(cells.max(initial=0)) + 1) // 8)
+    base = queries.drop("_cells")
+    schema = T.StructType([*base.schema.fields, T.StructField("_cells", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                b = whole.slice(lo, 1024)
+                looks = np.zeros((b.num_rows, bits), bool)
+                if len(cells):
+                    sims = vectors.matrix(b.column(b.schema.get_field_index(vec)), shared.value.shape[1]) @ shared.value.T
+                    np.put_along_axis(looks, cells[np.argsort(-sims, axis=1, kind="stable")[:, :probes]], True, axis=1)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x.tobytes() for x in np.packbits(looks, axis=1)], pa.binary())], names=[*b.schema.names, "_cells"])
+
+    return base.mapInArrow(run, schema)
 
 
-def search(queries: DataFrame, placed: DataFrame, centers: DataFrame, k: int, probes: int, query_id: str, item_id: str, vec: str = "embedding") -> DataFrame:
-    """(query_id, item_id, similarity, rank) from the ``probes`` cells nearest to each query: one equi-join on the cell."""
-    both = near(queries, centers, probes, query_id, vec).join(placed.select(item_id, vec, "cell"), "cell")
-    scored = both.select(query_id, item_id, F.round(text.dot(F.col("_q"), F.col(vec)), 9).alias("similarity"))
-    w = Window.partitionBy(query_id).orderBy(F.desc("similarity"), item_id)
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+def search(queries: DataFrame, placed: DataFrame, centers: DataFrame, k: int, probes: int, query_id: str, item_id: str, vec: str = "embedding", rules: bool = False) -> DataFrame:
+    """(query_id, item_id, similarity, rank) from the ``probes`` cells nearest to each query, in the manner of ``vectors.top_k``."""
+    return vectors.top_k(near(queries, centers, probes, vec), placed, k, query_id, item_id, vec, vec, rules=rules, cells=("_cells", "cell"))
 
 
 def recall(found: DataFrame, exact: DataFrame, query_id: str, item_id: str) -> DataFrame:

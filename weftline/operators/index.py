@@ -9,7 +9,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import text
 from weftline.operators import ann, retrieve
 
 
@@ -43,17 +42,7 @@ class IvfIndex:
         if self.built[0] != version or not version:
             self.built = (version, *ann.index(items, self.cells, sample=self.sample))
         _, placed, centers = self.built
-        asked = ann.near(requests, centers, self.probes, "request_id")
-        rules = [c for c in ("tenant_id", "principals", "metadata_filter") if c in requests.columns]
-        asked = asked.join(retrieve.hinted(requests.select("request_id", *[F.col(c).alias(f"_{c}") for c in rules])), "request_id")
-        both = asked.join(placed, "cell")
-        if "tenant_id" in rules:
-            both = both.where(retrieve.authorized(F.col("_tenant_id"), F.col("_principals") if "principals" in rules else F.array().cast("array<string>"), F.col("tenant_id"), F.col("acl")))
-        if "metadata_filter" in rules and "metadata" in placed.columns:
-            both = both.where(retrieve.fits(F.col("metadata"), F.col("_metadata_filter")))
-        scored = both.select("request_id", item_id, F.round(text.dot(F.col("_q"), F.col("embedding")), 9).alias("similarity"))
-        w = Window.partitionBy("request_id").orderBy(F.desc("similarity"), item_id)
-        return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return ann.search(requests, placed, centers, k, self.probes, "request_id", item_id, rules=True)
 
 
 class ClientIndex:
