@@ -77,3 +77,13 @@ def test_cells_near_to_a_query_are_searched_exactly(spark, small, monkeypatch, f
     got = {(r.q, r["rank"]): (r.i, r.similarity) for r in ann.search(q, items, c, 5, 4, "q", "i").collect()}
     assert got == brute(rows, rows, 5, lambda q, i: cell[i] in looks[q])
     assert ann.near(q, c, 4).count() == len(rows)  # a row a query, not one for each of its cells
+
+
+def test_vectors_made_in_the_search_are_those_of_embed(spark):
+    texts = [(i, " ".join(f"w{(i * j) % 17}" for j in range(i % 9))) for i in range(60)] + [(60, None)]
+    docs = spark.createDataFrame(texts, "i bigint, text string").repartition(3)
+    q = vectors.embed(docs.where("i < 7").selectExpr("i q", "text"))
+    plans = [vectors.top_k(q, vectors.embed(docs), 5, "q", "i"), vectors.top_k(q, docs, 5, "q", "i", item_text="text")]
+    want, got = (sorted(map(tuple, p.collect())) for p in plans)
+    assert got == want and len(got) == 35
+    assert plans[1]._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1

@@ -35,7 +35,7 @@ def _rankings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     q, d = _tables(spark, sf_dir)
     req = _open(q.select(F.col("query_id").alias("request_id"), F.col("message").alias("user_message")))
     items = _open(d)
-    vec = retrieve.vector_top_k(vectors.embed(req, "user_message"), vectors.embed(items), DEPTH, "doc_id").select(F.lit("vector").alias("config"), F.col("request_id").alias("query_id"), "doc_id", F.col("similarity").alias("score"), "rank")
+    vec = retrieve.vector_top_k(vectors.embed(req, "user_message"), items, DEPTH, "doc_id", "text").select(F.lit("vector").alias("config"), F.col("request_id").alias("query_id"), "doc_id", F.col("similarity").alias("score"), "rank")
     lex = retrieve.lexical_top_k(req, items, DEPTH, "doc_id").select(F.lit("lexical").alias("config"), F.col("request_id").alias("query_id"), "doc_id", F.col("bm25").alias("score"), "rank")
     rand = evaluate.random_ranks(q.select("query_id"), d.select("doc_id"), DEPTH).withColumn("config", F.lit("random")).select(vec.columns)
     return written(vec.unionByName(lex).unionByName(rand), "rankings"), written(_labels(q, d), "labels")
