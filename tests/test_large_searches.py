@@ -88,3 +88,19 @@ def test_vectors_made_in_the_search_are_those_of_embed(spark):
     assert got == want and len(got) == 35
     stages = [p._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") for p in plans]
     assert stages[1] == stages[0] - 1  # one Python stage less over the documents
+
+
+def test_words_as_a_matrix_and_as_rows_have_the_same_scores(spark, monkeypatch):
+    from weftline.operators import retrieve
+
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(f"w{n}" for n in rng.integers(0, 12, i % 11)), "ab"[i % 2], ["g"] if i % 3 else []) for i in range(80)] + [(80, None, "a", []), (81, "Ünï w1 w1", "a", None)]
+    items = spark.createDataFrame(docs, "i bigint, text string, tenant_id string, acl array<string>").repartition(3)
+    req = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q} nowhere", "ab"[q % 2] if q else None, ["g"] if q > 3 else []) for q in range(8)] + [(8, None, "a", []), (9, "", "a", [])], "request_id bigint, user_message string, tenant_id string, principals array<string>")
+    found = lambda: sorted(map(tuple, retrieve.lexical_top_k(req, items, 4, "i").collect()))
+    dense = found()
+    assert {r[0] for r in dense} == set(range(1, 8))
+    for terms in (500_000, 2):  # known terms alone, or all
+        monkeypatch.setattr(vectors, "FEW", 3)
+        monkeypatch.setattr(retrieve, "TERMS", terms)
+        assert found() == dense
